@@ -27,7 +27,7 @@ from promptgrid.llm import storage
 
 PROFILE = 300
 SAMPLE = 400
-MAX_DISTANCE = 0.9
+MAX_DISTANCE = 0.75
 
 _U64 = np.uint64
 _SPACE = 32
