@@ -2,12 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptgrid.llm import storage
 
 
+def group_links(ids: np.ndarray, near: Callable[[int], np.ndarray], threshold: float) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """Links (ids, one id, their values) that connect exactly what all pairs of value >= threshold would connect.
+
+    ``near(i)`` is the value of member i with each member. Members already in one group need no comparison with each
+    other: a group of n alike costs one call, and then every member outside the largest group is compared with all.
+    """
+    n = len(ids)
+    group = np.arange(n)
+    done = np.zeros(n, bool)
+    pivot = 0
+    while True:
+        value = near(pivot)
+        hit = (value >= threshold) & (ids != ids[pivot])
+        done[pivot] = True
+        if hit.any():
+            yield ids[hit], int(ids[pivot]), value[hit]
+            joined = np.isin(group, group[hit]) | (group == group[pivot])
+            group[joined] = group[joined].min()
+        sizes = np.bincount(group, minlength=n)
+        rest = np.flatnonzero(~done & (group != sizes.argmax()))
+        if not len(rest):
+            return
+        pivot = int(rest[0])
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step on edges (a > b).
 

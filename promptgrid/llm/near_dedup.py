@@ -105,27 +105,6 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "doc_id", *_SIG])
 
 
-def _links(ids: np.ndarray, packed: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
-    """Links (ids, smaller id, similarities) that connect exactly what all pairs at the threshold would connect."""
-    n = len(ids)
-    group = np.arange(n)
-    done = np.zeros(n, bool)
-    pivot = 0
-    while True:
-        near = similarity(packed[pivot], packed)
-        hit = (near >= threshold) & (ids != ids[pivot])
-        done[pivot] = True
-        if hit.any():
-            yield ids[hit], int(ids[pivot]), near[hit]
-            joined = np.isin(group, group[hit]) | (group == group[pivot])
-            group[joined] = group[joined].min()
-        sizes = np.bincount(group, minlength=n)
-        rest = np.flatnonzero(~done & (group != sizes.argmax()))
-        if sizes.max() == n or not len(rest):
-            return
-        pivot = int(rest[0])
-
-
 def _link(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -158,7 +137,8 @@ def _match(rows: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
         hit = (near >= threshold) & (rows[two, 1] != rows[two + 1, 1])
         out.append((rows[two + 1, 1][hit], rows[two, 1][hit], near[hit]))
     for lo, hi in zip(begin[size > 2], end[size > 2], strict=True):
-        for others, one, near in _links(rows[lo:hi, 1], np.ascontiguousarray(rows[lo:hi, 2:]).view(_U64), threshold):
+        packed = np.ascontiguousarray(rows[lo:hi, 2:]).view(_U64)
+        for others, one, near in components.group_links(rows[lo:hi, 1], lambda i, p=packed: similarity(p[i], p), threshold):
             out.append((np.maximum(others, one), np.minimum(others, one), near))
     if out:
         columns = [np.concatenate(c) for c in zip(*out, strict=True)]

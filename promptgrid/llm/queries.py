@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptgrid.llm import bpe, exact_dedup, language_id, mixing, near_dedup, secret_scan, sharding, substring_dedup, token_counts
+from promptgrid.llm import bpe, exact_dedup, fingerprints, language_id, mixing, near_dedup, secret_scan, sharding, substring_dedup, token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_docs(spark, sf_dir)).withColumn("distance", F.round("distance", 9))
 
 
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.similar(_docs(spark, sf_dir))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_docs(spark, sf_dir))[0]
 
@@ -51,7 +55,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_minhash_near_dedup, op3_token_counts, op4_sharding, op5_source_mixing, op6_exact_dedup, op7_language_id, op9_secret_scan, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_minhash_near_dedup, op3_token_counts, op4_sharding, op5_source_mixing, op6_exact_dedup, op7_language_id, op8_document_fingerprints, op9_secret_scan, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
