@@ -10,7 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptgrid.llm import bpe, exact_dedup, language_id, mixing, near_dedup, storage
+from promptgrid import storage
+from promptgrid.llm import bpe, exact_dedup, language_id, mixing, near_dedup
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
