@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptgrid.llm import arrays, components, storage
+from promptgrid import storage
+from promptgrid.llm import arrays, components
 
 CHUNKS = 64
 WINDOW = 7
