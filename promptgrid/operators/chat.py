@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +17,11 @@ def persona(personas: list[str], seed: int, *key: Column) -> Column:
 
 def turn_count(max_turns: int, probability: float, seed: int, *key: Column) -> Column:
     """1, plus a turn for each draw below ``probability`` until the first that isn't, at most ``max_turns``."""
-    go_on = [hashing.uniform(seed, "turn", t, *key) < probability for t in range(1, max_turns)]
-    run = [reduce(lambda a, b: a & b, go_on[: k + 1]) for k in range(len(go_on))]
-    return F.lit(1) + sum((r.cast("int") for r in run), F.lit(0))
+    if max_turns == 1:
+        return F.lit(1)
+    ends = F.array(*(hashing.uniform(seed, "turn", t, *key) >= probability for t in range(1, max_turns)))
+    first = F.array_position(ends, True).cast("int")
+    return F.when(first > 0, first).otherwise(max_turns)
 
 
 def messages_of(rows: DataFrame, key: str, turn: str, role: str, text: str) -> DataFrame:
