@@ -32,7 +32,7 @@ def messages_of(rows: DataFrame, key: str, turn: str, role: str, text: str) -> D
 
 
 def opening(messages: Column) -> Column:
-    return F.try_element_at(messages, F.lit(1))["content"]
+    return F.get(F.transform(messages, lambda m: m["content"]), F.lit(0))
 
 
 def dialog_summary(messages: Column) -> Column:
