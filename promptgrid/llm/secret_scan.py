@@ -52,7 +52,7 @@ def _matches(texts: DataFrame, rules: Mapping[str, tuple[int, str]]) -> DataFram
         return lambda secret: F.struct(F.lit(rule).alias("rule"), F.lit(version).alias("rule_version"), secret.alias("secret"))
 
     each = [F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), named(rule, version)) for rule, (version, pattern) in rules.items()]
-    # a blob that is read twice after all gives the same (rule, place) twice
+    # rows equal in id and text are both read and give the same (rule, place) twice
     found = texts.select("blob", F.posexplode(F.concat(*each)).alias("place", "f")).select("blob", "place", "f.*").dropDuplicates(["blob", "place"])
     hashed = found.select("blob", "rule", "rule_version", F.sha2(F.col("secret").cast("binary"), 256).alias("secret_sha256"), F.substring("secret", 1, 4).alias("shown"))
     return hashed.groupBy("blob", "rule", "rule_version", "secret_sha256", "shown").agg(F.count("*").cast("int").alias("occurrences"))
@@ -71,7 +71,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, findings: DataFrame |
     named = spark.createDataFrame([(r, v) for r, (v, _) in rules.items()], "rule string, rule_version int")
     pairs = at.select("blob").distinct().crossJoin(F.broadcast(named))  # one row a rule
     if ledger is None:
-        new, parts = pairs, [_matches(_unscanned(docs, at, blobs), rules)]
+        new, parts = pairs, [_matches(_unscanned(docs, blobs), rules)]
     else:
         new = storage.written(pairs.join(seen, ["blob", "rule", "rule_version"], "left_anti"), "unseen")
         missing = storage.written(new.groupBy("blob").agg(F.array_sort(F.collect_set("rule")).alias("rules")), "missing")
@@ -79,7 +79,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, findings: DataFrame |
         parts = []
         for row in missing.select("rules").distinct().collect():
             mine = blobs.join(missing.where(F.col("rules") == F.array(*map(F.lit, row["rules"]))).select("blob"), "blob")
-            parts.append(_matches(_unscanned(docs, at, mine), {r: rules[r] for r in row["rules"]}))
+            parts.append(_matches(_unscanned(docs, mine), {r: rules[r] for r in row["rules"]}))
     found = known
     for part in parts:
         found = found.unionByName(part)
@@ -89,18 +89,16 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, findings: DataFrame |
     return paths, seen.unionByName(new), found
 
 
-def _unscanned(docs: DataFrame, at: DataFrame, blobs: DataFrame) -> DataFrame:
-    """(blob, text), each blob of ``blobs`` read from one of its rows.
+def _unscanned(docs: DataFrame, blobs: DataFrame) -> DataFrame:
+    """(blob, text), each blob of ``blobs`` read from the row that was chosen for it.
 
-    Rows to pass over are the repeats and the blobs seen before. They go by id against the table, by an anti join that
-    Spark broadcasts only if its list is small by its threshold, and merges by a shuffle if not.
+    The rows meet their blobs by (blob, id) in one shuffle, at every size; copies under other ids spread over all tasks
+    and end there, unscanned.
     """
-    chosen = blobs.select("blob", F.col("reader").alias("doc_id"))
-    skip = storage.written(at.join(chosen, ["blob", "doc_id"], "left_anti").where("doc_id is not null").select("doc_id", F.col("blob").alias("skipped")).distinct(), "skip")
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("blob"))
-    kept = texts.join(skip, (texts["doc_id"] == skip["doc_id"]) & (texts["blob"] == skip["skipped"]), "left_anti").select("blob", "text", "doc_id")
-    # rows equal in id and text are read each; rows without an id once a blob
-    return kept.where("doc_id is not null").select("blob", "text").unionByName(kept.where("doc_id is null").select("blob", "text").dropDuplicates(["blob"]))
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("ident")
+    chosen = blobs.select("blob", F.coalesce(F.col("reader").cast("string"), F.lit("null")).alias("ident"))
+    texts = docs.where("text is not null").select(F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("blob"), F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").select("blob", ident, "text")
+    return texts.join(chosen.hint("merge"), ["blob", "ident"]).select("blob", "text")
 
 
 def sql(rules: Mapping[str, tuple[int, str]] = RULES) -> str:
