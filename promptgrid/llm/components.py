@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,36 @@ def group_links(ids: np.ndarray, near: Callable[[int], np.ndarray], threshold: f
         pivot = int(rest[0])
 
 
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole runs of rows with an equal first column, from batches sorted by it: each batch out holds whole runs."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        last = int(np.searchsorted(keys, keys[-1]))
+        if last == 0 and held and held[0].column(0)[0].as_py() == keys[0]:
+            held.append(batch)
+            continue
+        yield from (b for b in pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks().to_batches() if b.num_rows)
+        held = [batch.slice(last)]
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct rows (key, node) of keys that two nodes or more have, from batches sorted by both."""
+    for batch in runs(batches):
+        keys, nodes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        repeat = np.concatenate([[False], (keys[1:] == keys[:-1]) & (nodes[1:] == nodes[:-1])])
+        batch = batch.filter(pa.array(~repeat))
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        same = np.concatenate([[False], keys[1:] == keys[:-1]])
+        several = same | np.append(same[1:], False)
+        if several.any():
+            yield batch.filter(pa.array(several))
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step on edges (a > b).
 

@@ -180,35 +180,9 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, nodes, which)], ["key", "node", "which"])
 
 
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole runs of rows with an equal first column, from batches sorted by it: each batch out holds whole runs."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        last = int(np.searchsorted(keys, keys[-1]))
-        if last == 0 and held and held[0].column(0)[0].as_py() == keys[0]:
-            held.append(batch)
-            continue
-        yield from pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks().to_batches()
-        held = [batch.slice(last)]
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in runs(batches):
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        same = np.concatenate([[False], keys[1:] == keys[:-1]])
-        several = same | np.append(same[1:], False)
-        if several.any():
-            yield batch.filter(pa.array(several))
-
-
 def _match(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches):
+        for batch in components.runs(batches):
             keys, nodes, blocks = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             read = [squeezed(_CODE[np.frombuffer(t.encode(), np.uint8)]) for t in batch.column(3).to_pylist()]
             edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
@@ -230,7 +204,7 @@ def similar(docs: DataFrame, least_score: int = LEAST_SCORE) -> DataFrame:
     table = storage.written(fingerprints(docs).withColumn("node", node), "prints")
     nodes = table.where(able & (F.col("doc_id") == F.col("node"))).dropDuplicates(["node"]).select("node", "block_size", "signature", "double_signature")
     grams = nodes.mapInArrow(_index, "key long, node long, which tinyint")
-    shared = storage.written(grams.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, which tinyint"), "shared-grams")
+    shared = storage.written(grams.repartition("key").sortWithinPartitions("key", "node").mapInArrow(components.shared, "key long, node long, which tinyint"), "shared-grams")
     at = F.when(F.col("which") == 0, F.col("signature")).otherwise(F.col("double_signature"))
     full = shared.join(nodes, "node").select("key", "node", F.expr("shiftleft(block_size, which)").alias("block"), at.alias("s"))
     links = full.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_match(least_score), "a long, b long, score long")

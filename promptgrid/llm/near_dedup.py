@@ -6,9 +6,9 @@ hashes, then
 * ``BANDS`` keys of ``ROWS`` whole minima each, for candidates, and
 * the lowest ``BITS`` bits of every minimum, packed into longs, for the estimate.
 
-Documents that share a key meet in one shuffle of (key, id, packed bits). There the similarity of a pair is read off
-by bit counts: if E is the share of equal b-bit minima, J = (E - 2^-b) / (1 - 2^-b), which takes out chance
-collisions of low bits. A key's documents are linked completely: pairs already connected need no further comparison,
+Keys that only one document has drop out in a shuffle of (key, document) pairs alone; the documents of the others meet
+by key with their packed bits, where the similarity of a pair is read off by bit counts: if E is the share of equal
+b-bit minima, J = (E - 2^-b) / (1 - 2^-b), which takes out chance collisions of low bits. A key's documents are linked completely: pairs already connected need no further comparison,
 so a group of n copies costs n comparisons, while members outside the largest group are each compared with all.
 The links' connected components (alternating large and small stars) are the groups.
 
@@ -100,29 +100,16 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets, _ = arrays.utf8_parts(batch.column(1))
         for lo, hi in arrays.steps(offsets):
             rows, least = minima(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            if len(rows):
-                packed = pack(least).view(np.int64)
-                columns = [band_keys(least).view(np.int64).ravel(), np.repeat(ids[lo:hi][rows].astype(np.int64), BANDS)]
-                columns += [np.repeat(packed[:, i], BANDS) for i in range(_LONGS)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "doc_id", *_SIG])
+            packed, keys = pack(least).view(np.int64), band_keys(least).view(np.int64)
+            ends = pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32))
+            columns = [pa.array(ids[lo:hi][rows].astype(np.int64)), *map(pa.array, packed.T), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *_SIG, "keys"])
 
 
 def _link(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
-            # the last key's documents may go on in the next batch
-            last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-            if last == 0 and held and held[0][0, 0] == rows[0, 0]:
-                held.append(rows)
-                continue
-            yield from _match(np.concatenate([*held, rows[:last]]), threshold)
-            held = [rows[last:]]
-        if held:
-            yield from _match(np.concatenate(held), threshold)
+        for batch in components.runs(batches):
+            yield from _match(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1), threshold)
 
     return run
 
@@ -152,9 +139,13 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     signed = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .where("doc_id is not null and text is not null")
-        .mapInArrow(_sign, "key long, doc_id long, " + ", ".join(f"{s} long" for s in _SIG))
+        .mapInArrow(_sign, "doc_id long, " + ", ".join(f"{s} long" for s in _SIG) + ", keys array<long>")
     )
-    found = signed.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_link(threshold), "a long, b long, similarity double")
+    # rows may share an id, not a node, unless their signatures are equal
+    signed = storage.written(signed.withColumn("node", F.xxhash64("doc_id", *_SIG)), "signatures")
+    keyed = signed.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
+    met = keyed.mapInArrow(components.shared, "key long, node long").join(signed.hint("merge").drop("keys"), "node").select("key", "doc_id", *_SIG)
+    found = met.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_link(threshold), "a long, b long, similarity double")
     return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
