@@ -161,3 +161,10 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``encoded`` (doc_id, token_ids, n_tokens) with ``decoded``, the text of the tokens. No shuffle."""
     rows = encoded.select("doc_id", "token_ids", "n_tokens")
     return rows.mapInArrow(_decoder(vocabulary), "doc_id long, token_ids array<int>, n_tokens long, decoded string")
+
+
+def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, leaf: int = LEAF_CHARS) -> DataFrame:
+    """``decode(encode(docs))`` in one pass of one Python worker a task."""
+    encode_, decode_ = _encoder(vocabulary, leaf), _decoder(vocabulary)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(arrays.tidy(lambda batches: decode_(encode_(batches))), "doc_id long, token_ids array<int>, n_tokens long, decoded string")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptgrid import storage
+from promptgrid.llm import arrays
 
 PROFILE = 300
 SAMPLE = 400
@@ -84,7 +84,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, label: str = "lang") -> Profile
                 codes, n = np.unique(ngrams(text), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([label_] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n, pa.int64())], ["label", "code", "n"])
 
-    counted = texts.select("label", "text").mapInArrow(count, "label string, code long, n long").groupBy("label", "code").agg(F.sum("n").alias("n"))
+    counted = texts.select("label", "text").mapInArrow(arrays.tidy(count), "label string, code long, n long").groupBy("label", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "code"))
     rows = counted.withColumn("rank", place - 1).where(F.col("rank") < PROFILE).select("label", "code", "rank").collect()
     labels = sorted({r["label"] for r in rows})
@@ -129,10 +129,10 @@ def _classifier(profiles: Profiles, limit: float, select: bool):
 def identify(docs: DataFrame, profiles: Profiles | None = None, max_distance: float = MAX_DISTANCE) -> DataFrame:
     """(doc_id, language, distance, accepted), a row for each row of ``docs``. No shuffle but training's."""
     profiles = train(docs) if profiles is None else profiles
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_classifier(profiles, max_distance, False), "doc_id long, language string, distance double, accepted boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(arrays.tidy(_classifier(profiles, max_distance, False)), "doc_id long, language string, distance double, accepted boolean")
 
 
 def keep_accepted(docs: DataFrame, profiles: Profiles | None = None, max_distance: float = MAX_DISTANCE) -> DataFrame:
     """The rows of ``docs`` whose language is accepted."""
     profiles = train(docs) if profiles is None else profiles
-    return docs.mapInArrow(_classifier(profiles, max_distance, True), docs.schema)
+    return docs.mapInArrow(arrays.tidy(_classifier(profiles, max_distance, True)), docs.schema)

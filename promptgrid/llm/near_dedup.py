@@ -139,13 +139,13 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     signed = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .where("doc_id is not null and text is not null")
-        .mapInArrow(_sign, "doc_id long, " + ", ".join(f"{s} long" for s in _SIG) + ", keys array<long>")
+        .mapInArrow(arrays.tidy(_sign), "doc_id long, " + ", ".join(f"{s} long" for s in _SIG) + ", keys array<long>")
     )
     # rows may share an id, not a node, unless their signatures are equal
     signed = storage.written(signed.withColumn("node", F.xxhash64("doc_id", *_SIG)), "signatures")
     keyed = signed.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
-    met = keyed.mapInArrow(components.shared, "key long, node long").join(signed.hint("merge").drop("keys"), "node").select("key", "doc_id", *_SIG)
-    found = met.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_link(threshold), "a long, b long, similarity double")
+    met = keyed.mapInArrow(arrays.tidy(components.shared), "key long, node long").join(signed.hint("merge").drop("keys"), "node").select("key", "doc_id", *_SIG)
+    found = met.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(arrays.tidy(_link(threshold)), "a long, b long, similarity double")
     return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 

@@ -15,7 +15,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.decode(bpe.encode(_docs(spark, sf_dir)))
+    return bpe.round_trip(_docs(spark, sf_dir))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
