@@ -36,7 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text that they decode to."""
-    return bpe.decode(bpe.encode(docs))
+    return bpe.round_trip(docs)
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("mix", mix), ("tokenize", tokenize)]
