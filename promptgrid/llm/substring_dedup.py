@@ -1,11 +1,14 @@
 """Substring deduplication over sliding spans of sentences.
 
-A text is cut into sentences: after ``.``, ``!`` or ``?`` before white space, and at line ends; a sentence of more than
-``MAX_WORDS`` words is cut after every MAX_WORDS-th, so that one long sentence is several too. From every sentence on,
-the shortest run of at least ``SPAN`` sentences with at least ``MIN_WORDS`` words is a span. Spans are hashed to 128 bits
-over their sentences' lower-cased words, all spans of the corpus meet by hash in one shuffle, and of equal spans the one
-with the smallest (doc_id, text version, position) is the first. Every sentence that a non-first span covers is removed.
-A passage's text decides where its spans end, so it makes the same spans in every document.
+A text is cut into sentences: after ``.``, ``!`` or ``?`` before white space, at line ends, and after every word whose
+lower-case form has a hash of 0 modulo ``CUT``; what lies between two cuts counts as a sentence below. From every
+sentence on, the shortest run of at least ``SPAN`` sentences with at least ``MIN_WORDS`` words is a span. Spans are hashed
+to 128 bits over their sentences' lower-cased words, all spans of the corpus meet by hash in one shuffle, and of equal
+spans the one with the smallest (doc_id, text version, position) is the first. Every sentence that a non-first span covers
+is removed. Each cut depends on the word before it alone, so a passage has the same spans in every document, wherever in a
+sentence it begins; what lies before its first cut and after its last span stays. Only at the end of a text are sentences joined, fewer than
+MIN_WORDS words, where else no span would end there. A passage is missed if no span lies
+within it; the README has the measured share.
 
 The result is the documents that lost sentences. Their other sentences stay as they are, with the white space after
 them. A copy of a whole document loses all and becomes the empty text.
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +33,30 @@ from pyspark.sql import functions as F
 
 from promptgrid import storage
 
-SPAN = 3
+SPAN = 2
 MIN_WORDS = 12
-MAX_WORDS = 16
+CUT = 6
 
 _BREAK = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 _WORDS = re.compile(r"\S+\s*")
 
 
-def sentences(text: str) -> list[str]:
+@lru_cache(1 << 15)
+def _cuts(word: str) -> bool:
+    return xxhash.xxh3_64_intdigest(word) % CUT == 0
+
+
+def _ended(pieces: list[str], span: int, min_words: int) -> list[str]:
+    """The pieces, the last of them joined if else no span would end with the text."""
+    begin, counts = len(pieces), []
+    while begin and (len(counts) < span or sum(counts) < min_words):
+        begin -= 1
+        counts.insert(0, len(pieces[begin].split()))
+    n = next((n for n in range(span, len(counts)) if sum(counts[:n]) >= min_words), len(counts))
+    return pieces if n == len(counts) else [*pieces[: begin + n - 1], "".join(pieces[begin + n - 1 :])]
+
+
+def sentences(text: str, span: int = SPAN, min_words: int = MIN_WORDS) -> list[str]:
     """The sentences of a text with the white space after each; together they are the text."""
     pieces, at = [], 0
     for border in _BREAK.finditer(text):
@@ -46,19 +65,18 @@ def sentences(text: str) -> list[str]:
     pieces.append(text[at:])
     out: list[str] = []
     for piece in pieces:
-        if piece.count(" ") < MAX_WORDS:
-            if piece:
-                out.append(piece)
-            continue
-        ends = [m.end() for m in _WORDS.finditer(piece)]
-        cuts = [0, *ends[MAX_WORDS - 1 : -1 : MAX_WORDS], len(piece)]
-        out.extend(piece[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
-    return out
+        last = [*map(_cuts, piece.lower().split())]
+        if any(last[:-1]):
+            cuts = [0, *(m.end() for m, cut in zip(_WORDS.finditer(piece), last[:-1], strict=False) if cut), len(piece)]
+            out.extend(piece[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+        elif piece:
+            out.append(piece)
+    return _ended(out, span, min_words)
 
 
 def spans(text: str, span: int = SPAN, min_words: int = MIN_WORDS) -> tuple[list[bytes], list[int]]:
     """(16-byte hash, sentences) of the span from each sentence on; the last sentences begin none."""
-    words = [s.split() for s in sentences(text.lower())]
+    words = [s.lower().split() for s in sentences(text, span, min_words)]
     marks = [xxhash.xxh3_128_digest(" ".join(w).encode()) for w in words]
     counts = [len(w) for w in words]
     hashes, lengths = [], []
@@ -105,21 +123,24 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS
     return marked.select("doc_id", "version", "at", "n", F.col("first.doc_id").alias("first_doc_id"))
 
 
-def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, removed, total = [], [], []
-        for text, places, lengths in zip(*(batch.column(c).to_pylist() for c in ("text", "places", "lengths")), strict=True):
-            parts = sentences(text)
-            gone = np.zeros(len(parts) + 1, np.int64)
-            np.add.at(gone, np.array(places), 1)
-            np.add.at(gone, np.array(places) + np.array(lengths), -1)
-            covered = np.cumsum(gone)[:-1] > 0
-            texts.append("".join(p for p, c in zip(parts, covered, strict=True) if not c))
-            removed.append(int(covered.sum()))
-            total.append(len(parts))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("version"), pa.array(texts, pa.string()), pa.array(total, pa.int32()), pa.array(removed, pa.int32()), batch.column("first_doc_ids")], ["doc_id", "version", "text", "n_sentences", "n_removed", "first_doc_ids"]
-        )
+def _cutter(span: int, min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, removed, total = [], [], []
+            for text, places, lengths in zip(*(batch.column(c).to_pylist() for c in ("text", "places", "lengths")), strict=True):
+                parts = sentences(text, span, min_words)
+                gone = np.zeros(len(parts) + 1, np.int64)
+                np.add.at(gone, np.array(places), 1)
+                np.add.at(gone, np.array(places) + np.array(lengths), -1)
+                covered = np.cumsum(gone)[:-1] > 0
+                texts.append("".join(p for p, c in zip(parts, covered, strict=True) if not c))
+                removed.append(int(covered.sum()))
+                total.append(len(parts))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("version"), pa.array(texts, pa.string()), pa.array(total, pa.int32()), pa.array(removed, pa.int32()), batch.column("first_doc_ids")], ["doc_id", "version", "text", "n_sentences", "n_removed", "first_doc_ids"]
+            )
+
+    return run
 
 
 def cut_documents(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
@@ -136,7 +157,7 @@ def _cut(docs: DataFrame, span: int, min_words: int) -> DataFrame:
     # a row twice over joins twice; the window keeps one and uses the join's partitioning
     joined = rows.join(lost, ["doc_id", "version"])
     one = joined.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "version").orderBy("doc_id"))).where("turn = 1").drop("turn")
-    return one.select("doc_id", "version", "text", "places", "lengths", "first_doc_ids").mapInArrow(_cutter, "doc_id long, version int, text string, n_sentences int, n_removed int, first_doc_ids array<long>")
+    return one.select("doc_id", "version", "text", "places", "lengths", "first_doc_ids").mapInArrow(_cutter(span, min_words), "doc_id long, version int, text string, n_sentences int, n_removed int, first_doc_ids array<long>")
 
 
 def deduplicate(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:

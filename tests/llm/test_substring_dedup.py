@@ -66,6 +66,18 @@ def test_planted_passages_are_caught_and_clean_text_stays(spark):
     assert all(i < 90 for i in found)
 
 
+@pytest.mark.parametrize("marks", [".!?", ""])
+def test_passages_planted_in_mid_sentence(marks):
+    rng = random.Random(9)
+    new = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) + (rng.choice(marks) if marks and rng.random() < 0.1 else "") for _ in range(n))
+    missed = 0
+    for _ in range(200):
+        passage = new(55)
+        one, two = (set(sd.spans(f"{new(rng.randint(1, 90))} {passage} {new(90)}")[0]) for _ in range(2))
+        missed += not one & two
+    assert missed <= 6
+
+
 @pytest.mark.parametrize("case", ["empty", "edge", "wide"])
 def test_frames(spark, case):
     docs = corpus.cases(spark)[case]
