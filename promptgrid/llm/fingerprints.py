@@ -6,7 +6,8 @@ second signature, at twice the block size, lets texts of up to double length be
 
 Two signatures are compared where a block size is common to both documents, and only if they share seven characters in
 a row there. The score is 100 less the edit distance's share of both lengths (insertion and deletion 1, substitution 2),
-at small block sizes held down to what so few bytes can show. ``similar`` finds the groups that all pairs of score
+at small block sizes held down to what so few bytes can show; where that is less than the least score of a link, the
+score counts as it was if it is ``SMALL_SCORE`` or more. ``similar`` finds the groups that all pairs of score
 ``LEAST_SCORE`` or more connect: every document is looked up by all its seven-grams, those that no other document has
 drop out in the first shuffle, and in what is left only members not yet connected are compared.
 
@@ -30,7 +31,9 @@ from promptgrid.llm import arrays, components
 CHUNKS = 64
 WINDOW = 7
 LEAST_BLOCK = 3
-LEAST_SCORE = 70
+LEAST_SCORE = 50
+#: The least score before it is held down, where that would keep it below ``LEAST_SCORE`` even for equal signatures.
+SMALL_SCORE = 70
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 
 _U32, _U64 = np.uint32, np.uint64
@@ -113,11 +116,12 @@ def _matrix(signatures_: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def scores(one: np.ndarray, many: np.ndarray, block: int) -> np.ndarray:
+def scores(one: np.ndarray, many: np.ndarray, block: int, least: int | None = None) -> np.ndarray:
     """Scores of a squeezed signature with rows of ``_matrix``, whose common seven characters are taken as given.
 
     With substitutions at 2 the edit distance is both lengths less twice the longest common subsequence, which is
-    counted with one 64-bit word a pair.
+    counted with one 64-bit word a pair. With ``least``, scores that could not reach it are held down only below
+    ``SMALL_SCORE``.
     """
     mask = np.zeros(65, _U64)
     for i, c in enumerate(one.tolist()):
@@ -129,7 +133,9 @@ def scores(one: np.ndarray, many: np.ndarray, block: int) -> np.ndarray:
     lengths = (many != 64).sum(axis=1)
     common = np.bitwise_count(~state).astype(np.int64)
     score = 200 * common // np.maximum(len(one) + lengths, 1)
-    return np.minimum(score, block // LEAST_BLOCK * np.minimum(len(one), lengths))
+    most = block // LEAST_BLOCK * np.minimum(len(one), lengths)
+    held = np.minimum(score, most)
+    return held if least is None else np.where((most < least) & (score >= max(least, SMALL_SCORE)), score, held)
 
 
 def compare(a: str, b: str) -> int:
@@ -144,7 +150,7 @@ def compare(a: str, b: str) -> int:
             if block == y << j and block:
                 s_, t_ = read(s), read(t)
                 if np.isin(_grams(s_, block), _grams(t_, block)).any():
-                    best = max(best, int(scores(s_, _matrix([t_]), block)[0]))
+                    best = max(best, int(scores(s_, _matrix([t_]), block, LEAST_SCORE)[0]))
     return best
 
 
@@ -188,7 +194,7 @@ def _match(least: int):
             edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
             for lo, hi in zip(edges, edges[1:], strict=False):
                 many = _matrix(read[lo:hi])
-                for others, one, score in components.group_links(nodes[lo:hi], lambda i, m=many, at=lo: scores(read[at + i], m, int(blocks[at])), least):
+                for others, one, score in components.group_links(nodes[lo:hi], lambda i, m=many, at=lo: scores(read[at + i], m, int(blocks[at]), least), least):
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(others, one)), pa.array(np.minimum(others, one)), pa.array(score)], ["a", "b", "score"])
 
     return run

@@ -93,6 +93,19 @@ def test_groups_against_all_pairs(spark):
     assert {r["doc_id"]: r["group_doc_id"] for r in found} == corpus.components(pairs, ids)
 
 
+def test_near_copies_are_grouped_and_strangers_are_not(spark):
+    rng = random.Random(12)
+    texts = [corpus.text(rng, 300) for _ in range(60)]
+    # two words of each copy are others, far apart; the last 20 texts are short, their copies have another end
+    copies = [t[:600] + " another " + t[620:1300] + " word " + t[1310:] for t in texts[:40]]
+    short = [t[:150] for t in texts[40:]]
+    rows = [corpus.row(i, t) for i, t in enumerate([*texts[:40], *short])] + [corpus.row(100 + i, t) for i, t in enumerate([*copies, *(t[:143] + "changed" for t in short)])]
+    group = {r["doc_id"]: r["group_doc_id"] for r in fingerprints.similar(corpus.frame(spark, rows)).collect()}
+    assert all(group[i] == i for i in range(60))
+    assert sum(group[100 + i] == i for i in range(40)) >= 38
+    assert sum(group[140 + i] == 40 + i for i in range(20)) >= 10
+
+
 @pytest.mark.parametrize("case", ["empty", "edge", "wide"])
 def test_frames(spark, case):
     docs = corpus.cases(spark)[case]
