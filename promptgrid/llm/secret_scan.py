@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 
 from promptgrid import storage
 
+#: Names of secrets in any case, letter by letter: RE2's (?i) also takes letters outside ASCII, Java's does not.
+_NAMES = "(?:" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in name) for name in ("token", "secret", "password", "passwd", "api[_-]?key", "access[_-]?key")) + ")"
+
 #: rule -> (version, pattern)
 RULES: Mapping[str, tuple[int, str]] = {
-    "assigned_token": (1, r"""(?:token|secret|password|passwd|api_key|apikey|access_key) ?[=:] ?["'][0-9A-Za-z_+/=.-]{16,}["']"""),
+    "assigned_token": (2, rf"""{_NAMES}["']? ?[=:] ?(?:["'][0-9A-Za-z_+/=.-]{{16,}}["']|[0-9A-Za-z_+/=.-]{{16,}})"""),
     "aws_access_key": (1, r"(?:AKIA|ASIA)[0-9A-Z]{16}"),
     "github_token": (1, r"gh[pousr]_[0-9A-Za-z]{36}"),
     "slack_token": (1, r"xox[abprs]-[0-9A-Za-z-]{10,}"),

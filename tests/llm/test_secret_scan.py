@@ -38,6 +38,14 @@ def test_findings_against_brute_force(spark):
     assert not any(s in str(r) for r in paths.collect() for s in secrets)
 
 
+def test_assigned_tokens_in_any_case_and_unquoted(spark):
+    value = "9233A8EC" * 4
+    forms = [f'TOKEN = "{value}"', f"API_KEY='{value}'", f'Password: "{value}"', f"API-KEY: {value}", f"export ACCESS_KEY={value}", f"apikey: {value}", f'"Secret": "{value}"']
+    clean = ['TOKEN = "short"', f"tokens {value}", 'password: "two words of 16 characters"', "api key=" + "a" * 15]
+    paths = secret_scan.scan(corpus.frame(spark, [corpus.row(i, f"a {t} b") for i, t in enumerate(forms + clean)]))[0]
+    assert sorted((r["doc_id"], r["rule"], r["rule_version"]) for r in paths.collect()) == [(i, "assigned_token", 2) for i in range(len(forms))]
+
+
 def test_only_unseen_pairs_are_scanned(spark, monkeypatch):
     first, ledger, findings = secret_scan.scan(corpus.frame(spark, rows()))
     ledger, findings = ledger.cache(), findings.cache()
