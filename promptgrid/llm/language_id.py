@@ -27,7 +27,7 @@ from promptgrid.llm import arrays
 
 PROFILE = 300
 SAMPLE = 400
-MAX_DISTANCE = 0.75
+MAX_DISTANCE = 0.65
 
 _U64 = np.uint64
 _SPACE = 32

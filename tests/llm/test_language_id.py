@@ -65,6 +65,14 @@ def test_accuracy_on_the_test_tables(spark):
     assert all(r["accepted"] for r in found)
 
 
+@pytest.mark.parametrize("left_out", ["en", "de"])
+def test_a_language_left_out_of_training_is_rejected(spark, left_out):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    profiles = language_id.train(docs.where(f"lang <> '{left_out}'"))
+    found = language_id.identify(docs.where(f"lang = '{left_out}'"), profiles).collect()
+    assert len(found) > 50 and sum(r["accepted"] for r in found) <= 0.1 * len(found)
+
+
 def test_training_is_bounded_and_repeatable(spark):
     rng = random.Random(8)
     docs = corpus.frame(spark, [corpus.row(i, corpus.text(rng, 50)) for i in range(30)])
