@@ -22,6 +22,7 @@ WORD_BYTE[ord("a") : ord("z") + 1] = True
 WORD_BYTE[ord("A") : ord("Z") + 1] = True
 WORD_BYTE[128:] = True
 
+_tables: dict[str, np.ndarray] = {}
 _powers = {"up": np.ones(1, dtype=_U64), "down": np.ones(1, dtype=_U64)}
 
 
@@ -38,6 +39,42 @@ def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0], valid
 
 
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all rows, first of each row with their number at the end); bytes that are no UTF-8 are U+FFFD."""
+    raw = data.tobytes()
+    try:
+        points = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
+    except UnicodeDecodeError:
+        rows = [np.frombuffer(raw[a:b].decode(errors="replace").encode("utf-32-le"), np.uint32) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        return np.concatenate([np.zeros(0, np.uint32), *rows]), np.cumsum([0, *map(len, rows)])
+    if len(points) == len(data):
+        return points, offsets
+    begun = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=begun[1:])
+    return points, begun[offsets]
+
+
+def _table(name: str, kind: type, of: Callable[[int], int]) -> np.ndarray:
+    if name not in _tables:
+        _tables[name] = np.fromiter(map(of, range(0x110000)), kind, 0x110000)
+    return _tables[name]
+
+
+def is_letter() -> np.ndarray:
+    """By code point, ``str.isalpha``."""
+    return _table("letter", bool, lambda i: chr(i).isalpha())
+
+
+def is_space() -> np.ndarray:
+    """By code point, ``str.isspace``."""
+    return _table("space", bool, lambda i: chr(i).isspace())
+
+
+def lower() -> np.ndarray:
+    """By code point, ``str.lower`` where that is one code point, else itself."""
+    return _table("lower", np.uint32, lambda i: ord(c) if len(c := chr(i).lower()) == 1 else i)
+
+
 def steps(offsets: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose text is at most ``limit`` bytes, or one row."""
     row, n = 0, len(offsets) - 1
