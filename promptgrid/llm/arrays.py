@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -90,11 +91,24 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return tidied
 
 
+def give_back() -> None:
+    """Memory that isn't used goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # a C library without it
+    _trim = None
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit values (constants of SplitMix64)."""
     x = x ^ (x >> _U64(30))
@@ -113,8 +127,16 @@ def _power(kind: str, n: int) -> np.ndarray:
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, end) of every maximal run of word bytes; a run never crosses a row."""
+    """(start, end) of every maximal run of word bytes; a run never crosses a row.
+
+    A character of U+3000 to U+9FFF or beyond U+FFFF is a run of its own: scripts without spaces go by characters.
+    """
     word = WORD_BYTE[data]
+    alone = np.zeros(len(data) + 1, bool)
+    for leads, width in (((data >= 0xE3) & (data <= 0xE9), 3), (data >= 0xF0, 4)):
+        at = np.flatnonzero(leads)
+        alone[at] = True
+        alone[np.minimum(at + width, len(data))] = True
     inside = offsets[1:-1]
     inside = inside[(inside > 0) & (inside < len(data))]
     before = np.zeros(len(data), bool)
@@ -123,7 +145,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     after = np.zeros(len(data), bool)
     after[:-1] = word[1:]
     after[inside - 1] = False
-    return np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+    return np.flatnonzero(word & (~before | alone[:-1])), np.flatnonzero(word & (~after | alone[1:])) + 1
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -9,11 +9,13 @@ a row there. The score is 100 less the edit distance's share of both lengths (in
 at small block sizes held down to what so few bytes can show; where that is less than the least score of a link, the
 score counts as it was if it is ``SMALL_SCORE`` or more. ``similar`` finds the groups that all pairs of score
 ``LEAST_SCORE`` or more connect: every document is looked up by all its seven-grams, those that no other document has
-drop out in the first shuffle, and in what is left only members not yet connected are compared.
+drop out in the first shuffle, and in what is left only members not yet connected are compared, many pairs at a time.
+Equal fingerprints are collapsed to one node first, so that copies cost nothing further.
 
 Defined cases. Null text: null fingerprint, a group of its own. Empty text: block size 0, a group of its own, like every
 text whose signature has fewer than seven characters. Null ids: a fingerprint, but no group. Runs of more than three
-equal characters count as three in comparisons. Equal fingerprints are one group. Rows that share an id share a group.
+equal characters count as three in comparisons. Equal fingerprints are one group. Rows that share an id share a group,
+and with them all that any of their texts is linked to. A string id that is no number fails the job in ANSI mode.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptgrid import storage
@@ -34,6 +36,8 @@ LEAST_BLOCK = 3
 LEAST_SCORE = 50
 #: The least score before it is held down, where that would keep it below ``LEAST_SCORE`` even for equal signatures.
 SMALL_SCORE = 70
+#: Pairs scored in one step; some 700 bytes of working memory each.
+PAIRS = 20_000
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 
 _U32, _U64 = np.uint32, np.uint64
@@ -116,24 +120,27 @@ def _matrix(signatures_: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def scores(one: np.ndarray, many: np.ndarray, block: int, least: int | None = None) -> np.ndarray:
-    """Scores of a squeezed signature with rows of ``_matrix``, whose common seven characters are taken as given.
+def scores(one: np.ndarray, many: np.ndarray, block: np.ndarray | int, least: int | None = None) -> np.ndarray:
+    """Scores of pairs of rows of two matrices of squeezed signatures, whose common seven characters are taken as given.
 
     With substitutions at 2 the edit distance is both lengths less twice the longest common subsequence, which is
     counted with one 64-bit word a pair. With ``least``, scores that could not reach it are held down only below
     ``SMALL_SCORE``.
     """
-    mask = np.zeros(65, _U64)
-    for i, c in enumerate(one.tolist()):
-        mask[c] |= _U64(1 << i)
-    state = np.full(len(many), 2**64 - 1, _U64)
+    n = len(one)
+    pair = np.arange(n)
+    mask = np.zeros((n, 65), _U64)
+    for i in range(CHUNKS):
+        mask[pair, one[:, i]] |= _U64(1 << i)
+    mask[:, 64] = 0
+    state = np.full(n, 2**64 - 1, _U64)
     for j in range(CHUNKS):
-        hit = state & mask[many[:, j]]
+        hit = state & mask[pair, many[:, j]]
         state = (state + hit) | (state - hit)
-    lengths = (many != 64).sum(axis=1)
+    lengths = (one != 64).sum(axis=1), (many != 64).sum(axis=1)
     common = np.bitwise_count(~state).astype(np.int64)
-    score = 200 * common // np.maximum(len(one) + lengths, 1)
-    most = block // LEAST_BLOCK * np.minimum(len(one), lengths)
+    score = 200 * common // np.maximum(lengths[0] + lengths[1], 1)
+    most = block // LEAST_BLOCK * np.minimum(*lengths)
     held = np.minimum(score, most)
     return held if least is None else np.where((most < least) & (score >= max(least, SMALL_SCORE)), score, held)
 
@@ -150,7 +157,7 @@ def compare(a: str, b: str) -> int:
             if block == y << j and block:
                 s_, t_ = read(s), read(t)
                 if np.isin(_grams(s_, block), _grams(t_, block)).any():
-                    best = max(best, int(scores(s_, _matrix([t_]), block, LEAST_SCORE)[0]))
+                    best = max(best, int(scores(_matrix([s_]), _matrix([t_]), block, LEAST_SCORE)[0]))
     return best
 
 
@@ -174,46 +181,73 @@ _CODE = np.zeros(256, np.uint8)
 _CODE[ALPHABET] = np.arange(64)
 
 
+def _squeezed_rows(column: pa.Array) -> np.ndarray:
+    """The squeezed signatures of a string column as rows of 64 characters, 64 standing for none."""
+    data, offsets, _ = arrays.utf8_parts(column)
+    length = np.diff(offsets)
+    at = offsets[:-1, None] + np.arange(CHUNKS)
+    none = np.arange(CHUNKS) >= length[:, None]
+    rows = _CODE[np.append(data, np.uint8(0))[np.where(none, len(data), at)]]
+    rows[none] = 64
+    same = (rows[:, 1:] == rows[:, :-1]) & ~none[:, 1:]
+    for i in np.flatnonzero((same[:, 2:] & same[:, 1:-1] & same[:, :-2]).any(axis=1)).tolist():
+        short = squeezed(rows[i, : length[i]])
+        rows[i, : len(short)], rows[i, len(short) :] = short, 64
+    return rows
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, which signature) of every seven-gram; a gram that a signature has twice comes twice."""
     for batch in batches:
-        keys, nodes, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int8)]
-        for node, block, *texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for k, text in enumerate(texts):
-                found = _grams(squeezed(_CODE[np.frombuffer(text.encode(), np.uint8)]), block << k)
-                keys.append(found)
-                nodes.append(np.full(len(found), node, np.int64))
-                which.append(np.full(len(found), k, np.int8))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, nodes, which)], ["key", "node", "which"])
+        nodes, blocks = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        for k in range(2):
+            rows = _squeezed_rows(batch.column(2 + k))
+            code = np.zeros((len(rows), CHUNKS - WINDOW + 1), _U64)
+            for j in range(WINDOW):
+                code = (code << _U64(6)) | rows[:, j : j + code.shape[1]].astype(_U64)
+            there = rows[:, WINDOW - 1 :] != 64
+            size = np.log2(np.maximum(blocks, 1) // LEAST_BLOCK + (blocks == 0)).astype(_U64) + _U64(k)
+            keys = arrays.mix64(code ^ (size[:, None] << _U64(42)))[there].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(nodes, there.sum(axis=1))), pa.array(np.full(len(keys), k, np.int8))], ["key", "node", "which"])
 
 
 def _match(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in components.runs(batches):
             keys, nodes, blocks = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            read = [squeezed(_CODE[np.frombuffer(t.encode(), np.uint8)]) for t in batch.column(3).to_pylist()]
-            edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                many = _matrix(read[lo:hi])
-                for others, one, score in components.group_links(nodes[lo:hi], lambda i, m=many, at=lo: scores(read[at + i], m, int(blocks[at]), least), least):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(others, one)), pa.array(np.minimum(others, one)), pa.array(score)], ["a", "b", "score"])
+            rows = _squeezed_rows(batch.column(3))
+
+            def score(i: np.ndarray, j: np.ndarray, rows=rows, blocks=blocks) -> np.ndarray:
+                parts = [slice(k, k + PAIRS) for k in range(0, len(i), PAIRS)]
+                return np.concatenate([np.zeros(0, np.int64), *(scores(rows[i[p]], rows[j[p]], blocks[i[p]], least) for p in parts)])
+
+            for a, b, value in components.linked_runs(components.run_numbers(keys), nodes, score, least):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(nodes[a], nodes[b])), pa.array(np.minimum(nodes[a], nodes[b])), pa.array(value)], ["a", "b", "score"])
 
     return run
 
 
+_PRINT = ["block_size", "signature", "double_signature"]
+
+
 def similar(docs: DataFrame, least_score: int = LEAST_SCORE) -> DataFrame:
     """(doc_id, block_size, signature, double_signature, group_doc_id): ``fingerprints`` with the smallest id of each
     document's group."""
+    table = storage.written(fingerprints(docs), "prints")
     able = F.length("signature") >= WINDOW
-    # signatures too short to compare spread by id: they need not meet
-    equal = Window.partitionBy("block_size", "signature", "double_signature", F.when(able, F.lit(None)).otherwise(F.col("doc_id")))
-    node = F.when(F.col("doc_id").isNotNull(), F.when(able, F.min("doc_id").over(equal)).otherwise(F.col("doc_id")))
-    table = storage.written(fingerprints(docs).withColumn("node", node), "prints")
-    nodes = table.where(able & (F.col("doc_id") == F.col("node"))).dropDuplicates(["node"]).select("node", "block_size", "signature", "double_signature")
-    grams = nodes.mapInArrow(_index, "key long, node long, which tinyint")
-    shared = storage.written(grams.repartition("key").sortWithinPartitions("key", "node").mapInArrow(components.shared, "key long, node long, which tinyint"), "shared-grams")
+    named = table.where("doc_id is not null")
+    distinct = named.where(able).groupBy(*_PRINT).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    nodes = storage.written(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    grams = nodes.select("node", *_PRINT).mapInArrow(arrays.tidy(_index), "key long, node long, which tinyint")
+    shared = grams.repartition("key").sortWithinPartitions("key", "node").mapInArrow(components.shared, "key long, node long, which tinyint")
     at = F.when(F.col("which") == 0, F.col("signature")).otherwise(F.col("double_signature"))
-    full = shared.join(nodes, "node").select("key", "node", F.expr("shiftleft(block_size, which)").alias("block"), at.alias("s"))
-    links = full.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_match(least_score), "a long, b long, score long")
-    label = components.connected(links.select("a", "b").distinct())
-    grouped = table.join(label, "node", "left")
-    return grouped.select("doc_id", "block_size", "signature", "double_signature", F.coalesce("label", "node").alias("group_doc_id"))
+    full = shared.join(nodes.hint("merge"), "node").select("key", "node", F.expr("shiftleft(block_size, which)").alias("block"), at.alias("s"))
+    links = full.repartition("key").sortWithinPartitions("key", "node").mapInArrow(arrays.tidy(_match(least_score)), "a long, b long, score long")
+    label = components.connected(links.select("a", "b").unionByName(components.versions(named.where(able), nodes, _PRINT)))
+    groups = components.groups_of(nodes, label).select(*_PRINT, "copies", "group")
+    grouped = components.join_skewed(table, storage.written(groups, "groups"), _PRINT, "copies", table.count())
+    # the versions of an id that are too short to compare go with its others
+    short = named.where(~able).select("doc_id").distinct()
+    mine = storage.written(named.where(able).join(short, "doc_id", "left_semi").join(groups, _PRINT).groupBy("doc_id").agg(F.min("group").alias("own")), "short")
+    out = grouped.withColumn("own", F.lit(None).cast("long")) if mine.isEmpty() else grouped.join(mine, "doc_id", "left")
+    return out.select("doc_id", *_PRINT, F.when(F.col("doc_id").isNotNull(), F.coalesce("own", "group", "doc_id")).alias("group_doc_id"))

@@ -2,6 +2,7 @@ import random
 
 import corpus
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from promptgrid.llm import fingerprints
@@ -63,7 +64,7 @@ def test_scores_against_the_table():
         a = rng.integers(0, 8, rng.integers(1, 65)).astype(np.uint8)
         many = [rng.integers(0, 8, rng.integers(1, 65)).astype(np.uint8) for _ in range(5)] + [a]
         block = int(rng.choice([3, 6, 96]))
-        got = fingerprints.scores(a, fingerprints._matrix(many), block)
+        got = fingerprints.scores(fingerprints._matrix([a] * len(many)), fingerprints._matrix(many), block)
         assert got.tolist() == [slow_score(a.tolist(), m.tolist(), block) for m in many]
 
 
@@ -121,3 +122,38 @@ def test_frames(spark, case):
             assert (r["block_size"], r["signature"]) == (0, "")
         if r["doc_id"] == 8:
             assert r["group_doc_id"] == 7
+
+
+def test_versions_of_one_id(spark):
+    rng = random.Random(21)
+    t, u, v = (corpus.text(rng, 300) for _ in range(3))
+    remark = u[:500] + " one more remark " + u[500:]
+    group = lambda rows: sorted((r["doc_id"], r["group_doc_id"]) for r in fingerprints.similar(corpus.frame(spark, [corpus.row(*r) for r in rows])).collect())
+    assert group([(9, t), (9, u), (12, remark), (15, v)]) == [(9, 9), (9, 9), (12, 9), (15, 15)]
+    assert group([(3, t), (9, t), (9, u)]) == [(3, 3), (9, 3), (9, 3)]
+    assert group([(3, t), (9, t), (9, "short"), (12, u), (12, "x"), (20, "x")]) == [(3, 3), (9, 3), (9, 3), (12, 12), (12, 12), (20, 20)]
+
+
+def test_index_has_every_gram():
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("ABCa+/"), int(n))) for n in (0, 3, 7, 12, 40, 64, 64)] + ["A" * 30, "AAAAB" * 9]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), pa.array([6 * 2 ** (i % 3) for i in range(len(texts))], pa.int64()), pa.array(texts), pa.array([t[:32] for t in texts])], ["node", "block_size", "signature", "double_signature"])
+    got = {(r["node"], r["which"], r["key"]) for b in fingerprints._index(iter([batch])) for r in b.to_pylist()}
+    code = lambda t: fingerprints._CODE[np.frombuffer(t.encode(), np.uint8)]
+    rows = [[fingerprints.squeezed(code(t)).tolist() for t in texts], [fingerprints.squeezed(code(t[:32])).tolist() for t in texts]]
+    grams = {(i, k): {(tuple(s[j : j + 7]), 6 * 2 ** (i % 3) << k) for j in range(len(s) - 6)} for k in range(2) for i, s in enumerate(rows[k])}
+    keys = {}
+    for (i, k), found in grams.items():
+        mine = {key for n, w, key in got if (n, w) == (i, k)}
+        assert len(mine) == len(found)
+        keys[i, k] = (mine, found)
+    for one in keys.values():  # keys are shared where grams and block sizes are
+        for two in keys.values():
+            assert len(one[0] & two[0]) == len(one[1] & two[1])
+
+
+def test_many_copies(spark):
+    text = corpus.text(random.Random(9), 100)
+    rows = [corpus.row(i, text) for i in range(3000)] + [corpus.row(5000 + i, corpus.text(random.Random(1000 + i), 60)) for i in range(50)]
+    groups = {r["doc_id"]: r["group_doc_id"] for r in fingerprints.similar(corpus.frame(spark, rows)).collect()}
+    assert all(groups[i] == 0 for i in range(3000)) and all(groups[5000 + i] == 5000 + i for i in range(50))
