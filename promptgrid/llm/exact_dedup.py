@@ -5,13 +5,15 @@ bit vectors of a minimal perfect hash (a level's keys that collide with no other
 the next level; a key's slot is the rank of its bit) and, at each slot, the full SHA-256 digest and its winner's
 locator, the document that stays. The index is a table, so it can be kept and used again for later batches.
 
-``look_up`` sends digests of new rows to their shard, evaluates the hash for all of them at once and compares all 32
-bytes of the slot's digest: equal bytes are a member, anything else is none. Members repeat the slot's winner. The
-nonmembers are grouped by digest on their own, the smallest id being the winner of each group.
+``look_up`` reduces the new rows to their distinct digests, sends those to their shard, evaluates the hash for all of
+them at once and compares all 32 bytes of the slot's digest: equal bytes are a member, anything else is none. Members
+repeat the slot's winner; a nonmember's winner is the smallest id of its digest, as the nonmembers are grouped on their
+own. The winners are joined back to the rows, those of hot digests, at most a thousand, by broadcast. A shard that gets
+many more digests than it holds is asked in slices of about ``SHARD_KEYS``.
 
 Texts are equal if their UTF-8 bytes are. Defined cases. Null text is no duplicate of anything; the empty text is a text
 like others. Null ids lose against any id. Rows equal in id and text repeat each other: one stays. Extra columns pass
-through. An empty history makes every row a nonmember.
+through. An empty history makes every row a nonmember. A string id that is no number fails the job in ANSI mode.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptgrid import storage
-from promptgrid.llm import arrays
+from promptgrid.llm import arrays, components
 
 SHARD_KEYS = 50_000
 #: Bits for each key that a level holds.
@@ -45,16 +47,17 @@ def _shard(of: Column, shards: int) -> Column:
 
 
 def _words(raw: bytes | np.ndarray, n: int) -> np.ndarray:
-    """First 8 bytes of each digest."""
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(n, 32)[:, :8]).view(_U64).ravel()
+    """First 24 bytes of each digest, as three numbers."""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(n, 32)[:, :24]).view(_U64)
 
 
 def _positions(words: np.ndarray, level: int, size: int) -> np.ndarray:
-    return (arrays.mix64(words + _U64((level + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) % _U64(size)).astype(np.int64)
+    """Other bytes every eight levels, so that digests may agree in some."""
+    return (arrays.mix64(words[:, level // 8 % 3] + _U64((level + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) % _U64(size)).astype(np.int64)
 
 
 def build_hash(words: np.ndarray) -> list[np.ndarray]:
-    """Bit vectors (as bytes of 0 and 1) of a minimal perfect hash over distinct 64-bit words."""
+    """Bit vectors (as bytes of 0 and 1) of a minimal perfect hash over distinct rows of words."""
     levels: list[np.ndarray] = []
     while len(words):
         size = max(64, LOAD * len(words))
@@ -63,7 +66,7 @@ def build_hash(words: np.ndarray) -> list[np.ndarray]:
         levels.append(alone)
         words = words[~alone[at]]
         if len(levels) > 200:
-            raise ValueError("two digests of a shard agree in their first 64 bits")
+            raise ValueError("two digests of a shard agree in their first 192 bits")
     return levels
 
 
@@ -129,7 +132,7 @@ def build_index(history: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _probe(rows: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    out = rows[["digest", "doc_id"]].assign(winner=0, member=False)
+    out = rows[["digest", "least", "copies"]].assign(winner=rows["least"], member=False)
     if len(rows) and len(index):
         shard = index.iloc[0]
         n = len(shard["winners"])
@@ -137,39 +140,53 @@ def _probe(rows: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         levels = [np.unpackbits(np.frombuffer(b[:-8], np.uint8), count=int.from_bytes(b[-8:], "little")).astype(bool) for b in shard["levels"]]
         at = slots(_words(raw, len(rows)), levels)
         full = np.frombuffer(shard["digests"], np.uint8).reshape(n, 32)
-        out["member"] = (at >= 0) & (full[at] == np.frombuffer(raw, np.uint8).reshape(-1, 32)).all(axis=1)
-        out["winner"] = np.asarray(shard["winners"], np.int64)[at]
+        member = (at >= 0) & (full[at] == np.frombuffer(raw, np.uint8).reshape(-1, 32)).all(axis=1)
+        out["member"] = member
+        out["winner"] = np.where(member, np.asarray(shard["winners"], np.int64)[at], out["winner"])
     return out
 
 
-def look_up(docs: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """(digest, doc_id, winner_doc_id, member) of each row of ``docs`` whose text is not null.
+def _winners(docs: DataFrame, index: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id and digest of each row whose text is not null; digest, least, copies, winner and member of each digest).
 
-    A nonmember's winner is the smallest id of its digest among the nonmembers.
+    ``least`` and ``winner`` are the largest long where there is no id.
     """
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"))
-    rows = rows.withColumn("shard", _shard(F.col("digest"), shards))
-    found = rows.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_probe, "digest binary, doc_id long, winner long, member boolean")
-    own = Window.partitionBy("digest", "member")
-    winner = F.when(F.col("member"), F.nullif(F.col("winner"), F.lit(np.iinfo(np.int64).max))).otherwise(F.min("doc_id").over(own))
-    return found.select("digest", "doc_id", winner.alias("winner_doc_id"), "member")
+    asked = rows.groupBy("digest").agg(F.coalesce(F.min("doc_id"), F.lit(_NONE)).alias("least"), F.count("*").alias("copies"))
+    asked = storage.written(asked.withColumn("shard", _shard(F.col("digest"), shards)), "asked")
+    slices = max(1, -(-asked.count() // (shards * SHARD_KEYS)))
+    sliced = asked.withColumn("slice", F.pmod(F.xxhash64("digest"), F.lit(slices)).cast("int"))
+    spread = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    probed = sliced.groupBy("shard", "slice").cogroup(spread.groupBy("shard", "slice")).applyInPandas(_probe, "digest binary, least long, copies long, winner long, member boolean")
+    return rows, storage.written(probed, "winners")
+
+
+_NONE = int(np.iinfo(np.int64).max)
 
 
-def look_up_stays(docs: DataFrame, index: DataFrame, shards: int, own: bool, stay: bool = True) -> DataFrame:
-    """Rows of ``look_up`` that stay, one a digest (or those that go). ``own``: the history is ``docs`` itself."""
-    turn = Window.partitionBy("digest").orderBy(F.col("doc_id").asc_nulls_last())
-    stays = (F.row_number().over(turn) == 1) & (F.lit(own) | ~F.col("member"))
-    return look_up(docs, index, shards).withColumn("stays", stays).where("stays" if stay else "not stays").drop("stays")
+def look_up(docs: DataFrame, index: DataFrame, shards: int) -> DataFrame:
+    """(digest, doc_id, winner_doc_id, member, least) of each row of ``docs`` whose text is not null.
+
+    A nonmember's winner is the smallest id of its digest among the nonmembers, which is ``least`` for any row.
+    """
+    rows, winners = _winners(docs, index, shards)
+    joined = components.join_skewed(rows, winners, ["digest"], "copies", rows.count())
+    return joined.select("digest", "doc_id", F.nullif(F.col("winner"), F.lit(_NONE)).alias("winner_doc_id"), "member", F.nullif(F.col("least"), F.lit(_NONE)).alias("least"))
 
 
-def duplicates(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
+def duplicates(docs: DataFrame, history: DataFrame | None = None, index: tuple[DataFrame, int] | None = None) -> DataFrame:
     """(doc_id, winner_doc_id) of every row that goes, for the one that stays.
 
     Without ``history`` the history is ``docs`` itself, and a text's smallest id stays. With one, its documents are
-    taken to be kept elsewhere, so every member goes.
+    taken to be kept elsewhere, so every member goes. ``index``: that of the history, if it is there already.
     """
-    index, shards = build_index(docs if history is None else history)
-    return look_up_stays(docs, index, shards, history is None, stay=False).select("doc_id", "winner_doc_id")
+    found = look_up(docs, *(index or build_index(docs if history is None else history)))
+    first = F.col("doc_id").eqNullSafe(F.col("least"))
+    stays = first if history is None else first & ~F.col("member")
+    # of rows equal in id and text one stays; copies under other ids all go
+    turn = F.row_number().over(Window.partitionBy("digest", "doc_id").orderBy("doc_id"))
+    again = found.where(stays).withColumn("turn", turn).where("turn > 1").drop("turn")
+    return found.where(~stays).unionByName(again).select("doc_id", "winner_doc_id")
 
 
 def deduplicate(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
@@ -177,10 +194,11 @@ def deduplicate(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
 
     One shuffle of the rows, by digest and id: copies of one text under different ids spread over all tasks.
     """
-    index, shards = build_index(docs if history is None else history)
+    _, winners = _winners(docs, *build_index(docs if history is None else history))
     mine, ident, turn = (storage.fresh(docs, k) for k in ("digest", "ident", "turn"))
-    stays = look_up_stays(docs, index, shards, history is None).select(F.col("digest").alias(mine), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias(ident))
-    rows = docs.where("text is not null").withColumns({mine: digest(), ident: F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))})
+    stays = winners if history is None else winners.where("not member")
+    stays = stays.select(F.col("digest").alias(mine), F.coalesce(F.nullif(F.col("least"), F.lit(_NONE)).cast("string"), F.lit("null")).alias(ident))
+    rows = docs.where("text is not null").withColumns({mine: digest(), ident: F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))})
     same = Window.partitionBy(mine, ident).orderBy(mine)
     kept = rows.join(stays.hint("merge"), [mine, ident]).withColumn(turn, F.row_number().over(same)).where(F.col(turn) == 1)
     return kept.select(*docs.columns).unionByName(docs.where("text is null"))

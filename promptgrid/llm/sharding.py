@@ -9,7 +9,8 @@ shares along its path.
 It is one projection: no shuffle, no state, the same answer on every executor.
 
 Defined cases. The key is ``doc_id``; null ids take the key ``null``, so they lie together. Equal ids lie together.
-Equal draws go to the name that sorts first. Weight 0: never drawn. Extra columns are not read.
+Equal draws go to the name that sorts first. Weight 0: never drawn. Extra columns are not read. A tree must have three
+levels wherever something can be drawn.
 """
 
 from __future__ import annotations
@@ -35,15 +36,18 @@ DEFAULT_TREE: Tree = {
 LEVELS = ("region", "rack", "shard")
 
 
-def check_tree(tree: Tree, path: str = "") -> None:
-    """Raises on negative weights, on names with the path's separator and on a level without a positive weight."""
+def check_tree(tree: Tree, path: str = "", levels: int = len(LEVELS)) -> None:
+    """Raises on negative weights, on names with the path's separator, on a level without a positive weight, and where a
+    region or rack that can be drawn has no children or a shard has some."""
     if not any(w > 0 for w, _ in tree.values()):
         raise ValueError(f"no positive weight under {path or 'the root'}")
     for name, (weight, children) in tree.items():
         if weight < 0 or "/" in name or "|" in name:
             raise ValueError(f"bad weight or name: {path}/{name}")
+        if weight > 0 and bool(children) != (levels > 1):
+            raise ValueError(f"bad weight or name: {path}/{name} must have {'children' if levels > 1 else 'no children'}")
         if children and weight > 0:
-            check_tree(children, f"{path}/{name}")
+            check_tree(children, f"{path}/{name}", levels - 1)
 
 
 def _draw(path: str, weight: float, key: Column) -> Column:

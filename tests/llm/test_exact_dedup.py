@@ -48,9 +48,43 @@ def test_a_false_slot_is_seen_by_its_bytes():
     digests[at] = np.frombuffer(b"".join(raw[:25]), np.uint8).reshape(25, 32)
     winners[at] = np.arange(25)
     index = pd.DataFrame([{"shard": 0, "digests": digests.tobytes(), "winners": winners, "levels": [np.packbits(b).tobytes() + len(b).to_bytes(8, "little") for b in levels]}])
-    out = exact_dedup._probe(pd.DataFrame({"digest": raw, "doc_id": range(50), "shard": 0}), index)
+    out = exact_dedup._probe(pd.DataFrame({"digest": raw, "least": range(100, 150), "copies": 1, "shard": 0}), index)
     assert out["member"].tolist() == [True] * 25 + [False] * 25
-    assert out["winner"].tolist()[:25] == list(range(25))
+    assert out["winner"].tolist() == [*range(25), *range(125, 150)]
+
+
+def test_digests_that_agree_in_eight_bytes():
+    raw = b"".join(b"same-8-b" + hashlib.sha256(str(i).encode()).digest()[:24] for i in range(40))
+    words = exact_dedup._words(raw, 40)
+    assert sorted(exact_dedup.slots(words, exact_dedup.build_hash(words)).tolist()) == list(range(40))
+
+
+def test_a_small_history_is_asked_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SHARD_KEYS", 5)
+    history = corpus.frame(spark, [corpus.row(0, "t3"), corpus.row(1, "t4")])
+    docs = corpus.frame(spark, [corpus.row(10 + i, f"t{i % 30}") for i in range(90)])
+    gone = {r["doc_id"]: r["winner_doc_id"] for r in exact_dedup.duplicates(docs, history).collect()}
+    want = {10 + i: {3: 0, 4: 1}.get(i % 30, 10 + i % 30) for i in range(90)}
+    assert gone == {i: w for i, w in want.items() if i != w}
+
+
+def test_hot_digests(spark, monkeypatch):
+    """The rows of a hot text stay where they are; no task gets them all."""
+    rows = [corpus.row(i, "hot" if i % 3 else f"t{i}") for i in range(900)]
+    gone = {r["doc_id"]: r["winner_doc_id"] for r in exact_dedup.duplicates(corpus.frame(spark, rows)).collect()}
+    assert gone == {i: 1 for i in range(2, 900) if i % 3}
+
+
+def test_query_in_two_rounds(spark, tmp_path):
+    from promptgrid.llm import queries
+
+    rows = corpus.corpus(seed=12)
+    corpus.frame(spark, [r for r in reversed(rows)]).write.parquet(str(tmp_path / "documents.parquet"))
+    first = {}
+    for r in rows:
+        first.setdefault(r[1], r[0])
+    want = sorted((r[0], first[r[1]]) for r in rows if first[r[1]] != r[0])
+    assert sorted(map(tuple, queries.op6_exact_dedup(spark, str(tmp_path)).collect())) == want and any(i > 34 for i, _ in want)
 
 
 @pytest.mark.parametrize("case", ["empty", "edge", "wide"])

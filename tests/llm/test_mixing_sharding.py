@@ -80,7 +80,7 @@ def test_shard_frames(spark, case):
     rows = sharding.assign(docs).collect()
     assert len(rows) == docs.count() and all(r["region"] and r["rack"] and r["shard"] for r in rows)
     assert len({tuple(r) for r in rows}) == len({r["doc_id"] for r in rows})
-    for bad in ({}, {"a": (0.0, {})}, {"a": (-1.0, {}), "b": (1.0, {})}, {"a/b": (1.0, {})}):
+    for bad in ({}, {"a": (0.0, {})}, {"a": (-1.0, {}), "b": (1.0, {})}, {"a/b": (1.0, {})}, {"a": (1.0, {})}, {"a": (1.0, {"b": (1.0, {})})}, {"a": (1.0, {"b": (1.0, {"c": (1.0, {"d": (1.0, {})})})})}):
         with pytest.raises(ValueError, match="weight"):
             sharding.assign(docs, bad)
 
