@@ -190,7 +190,8 @@ def _spanner(span: int, min_words: int):
 def repeated_spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, version, at, n, first_doc_id): each span of n sentences that isn't the first of its hash."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").withColumn("version", F.xxhash64("text"))
-    found = storage.written(rows.mapInArrow(arrays.tidy(_spanner(span, min_words)), f"{_SPANS}, head boolean, more boolean"), "spans")
+    # spans are many times the rows and cheap to make: both users make them, from rows in the same order
+    found = _steady(rows).mapInArrow(arrays.tidy(_spanner(span, min_words)), f"{_SPANS}, head boolean, more boolean")
     place = F.struct("doc_id", "version", "at")
     meet = Window.partitionBy("h1", "h2")
     heads = found.where("head").withColumns({"first": F.min(place).over(meet), "some": F.max("more").over(meet)})
@@ -202,6 +203,13 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS
     return heads.where("not leads").select(*out).unionByName(others.select(*out))
 
 
+def _steady(rows: DataFrame) -> DataFrame:
+    """``rows`` in an order that doesn't change when they are computed again: as they are if they come from a scan without
+    a shuffle, else written."""
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    return storage.written(rows, "rows") if "Exchange" in plan else rows
+
+
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets, _ = arrays.utf8_parts(batch.column("text"))
