@@ -9,7 +9,7 @@ from promptgrid.llm import mixing, sharding
 
 
 def test_budgets_are_met_to_the_token(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "RANGE_ROWS", 7)  # several ranges a source
+    monkeypatch.setattr(mixing, "RANGE_BYTES", 9000)  # several ranges a source
     rows = corpus.corpus(seed=3)
     weights = {"s0": 5.0, "s1": 1.0, "s2": 0.25}
     out = mixing.mix(corpus.frame(spark, rows), weights, total=20_000).collect()
@@ -32,7 +32,8 @@ def test_budgets_are_met_to_the_token(spark, monkeypatch):
 def test_ranges_give_what_one_sort_gives(spark, monkeypatch):
     rows = corpus.frame(spark, corpus.corpus(seed=6))
     whole = {tuple(r) for r in mixing.mix(rows, total=9_000, carry=["doc_id", "source"]).collect()}
-    monkeypatch.setattr(mixing, "RANGE_ROWS", 3)
+    monkeypatch.setattr(mixing, "RANGE_BYTES", 300)
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 1)
     assert {tuple(r) for r in mixing.mix(rows, total=9_000, carry=["doc_id", "source"]).collect()} == whole
 
 
@@ -95,3 +96,29 @@ def test_sql(spark):
         want = con.execute(sql).fetchall()
         names = [d[0] for d in con.description]
         assert sorted(map(tuple, got.select(*names).collect())) == sorted(want)
+
+
+def test_cut_ends_where_the_budget_does(spark):
+    rows = corpus.corpus(seed=9)
+    docs = corpus.frame(spark, rows)
+    weights = {"s0": 2.0, "s1": 1.0, "s2": 0.5}
+    kept = mixing.cut(mixing.mix(docs, weights, total=5_001), docs.columns)
+    assert kept.columns == docs.columns
+    used, texts = Counter(), {r[0]: r[1] for r in rows}
+    for r in kept.collect():
+        used[r["source"]] += len(r["text"].split())
+        assert texts[r["doc_id"]].startswith(r["text"]) and r["n_chars"] == len(r["text"])
+    assert used == {s: int(5_001 * w / 3.5) for s, w in weights.items()}
+
+
+def test_counts_may_come_from_a_column(spark):
+    rows = corpus.frame(spark, corpus.corpus(seed=9)).selectExpr("*", "n_chars AS bpe")
+    used = Counter()
+    for r in mixing.mix(rows, {"s0": 3.0}, total=10_000, tokens_column="bpe", carry=["source"]).collect():
+        used[r["source"]] += r["used_tokens"]
+    assert used == {"s0": 6_000, "s1": 2_000, "s2": 2_000}
+
+
+def test_weights_are_exact():
+    assert mixing._integers({"a": 0.1, "b": 0.2}, 1.0) == ({"a": 1, "b": 2}, 10)
+    assert mixing._integers({}, 0.0) == ({}, 0)
