@@ -30,8 +30,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a document comes as often as its source's budget asks for."""
-    return mixing.mix(docs).select(*docs.columns)
+    """Sources at their target weights: a document comes as often as its source's budget asks for, and the last one of a
+    source ends where the budget does."""
+    return mixing.cut(mixing.mix(docs), docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
