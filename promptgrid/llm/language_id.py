@@ -11,7 +11,8 @@ A document is accepted if that distance is at most ``MAX_DISTANCE``.
 
 Defined cases. Null text, and texts without a letter: language ``und``, null distance, not accepted. Equal distances: the
 label that sorts first. Null labels don't train. Without any labelled text every language is ``und``. Whole texts are
-ranked, however long. Extra columns pass through ``keep_accepted``.
+ranked, however long. Extra columns pass through ``keep_accepted``. Training reads ``doc_id``, ``text`` and the label
+column; without that it fails with the analyzer's error for an unknown column, unless profiles are given.
 """
 
 from __future__ import annotations
@@ -31,22 +32,14 @@ MAX_DISTANCE = 0.65
 
 _U64 = np.uint64
 _SPACE = 32
-_letters: list[np.ndarray] = []
-
 #: (sorted n-gram codes, rank of each in each language, labels)
 Profiles = tuple[np.ndarray, np.ndarray, list[str]]
 
 
-def _is_letter() -> np.ndarray:
-    if not _letters:
-        _letters.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
-    return _letters[0]
-
-
 def ngrams(text: str) -> np.ndarray:
     """Codes of all n-grams of a text, in no order: its characters, first in the highest of three 21-bit fields."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _is_letter()[points]
+    letter = arrays.is_letter()[points]
     padded = np.full(len(points) + 2, _SPACE, np.uint32)
     padded[1:-1] = np.where(letter, points, _SPACE)
     keep = np.ones(len(padded), bool)

@@ -14,7 +14,8 @@ SHA-256 of the secret and its first four characters, never the secret.
 
 Defined cases. Null text: no blob. Empty text: a blob without findings. Rows that share path and text are one version
 (``doc_id`` is part of the path); a null id or source shows as ``null`` in the path. Several equal matches in one blob
-are one finding with their count. Extra columns are not read.
+are one finding with their count. Extra columns are not read; a table without ``source`` fails with the analyzer's error
+for an unknown column.
 """
 
 from __future__ import annotations

@@ -1,13 +1,14 @@
 """Token counts of documents of any length, by overlap resynchronisation.
 
 A text longer than ``CHUNK_CHARS`` is encoded in chunks that overlap by ``OVERLAP_CHARS``, with the byte offset of every
-token. Two neighbouring chunks are spliced at a place in their overlap that (a) is stable in the sense of bpe.py, white
-space after a letter or digit, and (b) is a token border in both encodings by their offsets. From such a place on the
+token. Two neighbouring chunks are spliced at a place in their overlap that (a) is stable in the sense of bpe.py, such as
+after a letter before another kind of character, and (b) is a token border in both encodings by their offsets. From such a place on the
 right chunk's tokens are those of the whole text, up to it the left one's are. If the overlap has no such place, the
 left chunk is widened, its overlap doubling each time, to the text's end if need be. So the count is that of the text
 encoded in one piece, and no step holds more tokens than a widened chunk has.
 
-Defined cases. Null text: null count. Empty text: 0.
+Defined cases. Null text: null count. Empty text: 0. A string id that is no number fails the job in ANSI mode. Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def _splice(codec: bpe.Codec, text: str, start: int, border: int, end: int, ends
     """
     right = np.cumsum(codec.widths[codec.plain.encode_ordinary(text[border:end])])
     before = len(text[start:border].encode())
-    for place in bpe._STABLE.finditer(text, border, end):
+    for place in codec.stable.finditer(text, border, end):
         if place.end() >= end:
             continue
         offset = len(text[border : place.end()].encode())

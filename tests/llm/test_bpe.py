@@ -1,6 +1,8 @@
 import random
+import re
 
 import corpus
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,9 +13,10 @@ CODEC = bpe.Codec.of(bpe.VOCABULARY)
 TEXTS = st.text(alphabet="ab 'stre\n\t.,!0é日🙂\xa0 ", max_size=300)
 
 
-@settings(max_examples=400, deadline=None)
-@given(TEXTS, st.integers(1, 40))
-def test_tree_equals_plain_encoding(text, leaf):
+@settings(max_examples=800, deadline=None)
+@given(TEXTS, st.integers(1, 40), st.sampled_from([1, 4, 1024]))
+def test_tree_equals_plain_encoding(text, leaf, near):
+    bpe.NEAR_CHARS = near
     tokens = CODEC.encode(text, leaf)
     assert tokens == CODEC.plain.encode_ordinary(text)
     assert CODEC.decode(tokens) == text
@@ -65,3 +68,41 @@ def test_frames(spark, case):
 def test_bad_parameters(spark):
     with pytest.raises(ValueError, match="positive"):
         token_counts.token_counts(corpus.frame(spark, []), chunk=0)
+
+
+def test_kinds_of_characters_are_the_tokenizers():
+    letter = re.compile(f"[{bpe._class(chr(92) + 'p{L}')}]")
+    assert all(letter.match(c) for c in "aéß日かऄЖ") and not any(letter.match(c) for c in "1 .'\u0301🙂٣")
+
+
+def test_text_without_stable_places_is_encoded_once(monkeypatch):
+    encoded = []
+    plain = CODEC.plain.encode_ordinary
+
+    class Counting:
+        def encode_ordinary(self, text):
+            encoded.append(len(text))
+            return plain(text)
+
+    rng = random.Random(8)
+    for text in ("".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(60_000)), "".join(chr(rng.randint(0x4E00, 0x9FFF)) + "。" * (rng.random() < 0.0005) for _ in range(60_000))):
+        encoded.clear()
+        with monkeypatch.context() as m:
+            m.setattr(CODEC, "plain", Counting())
+            tokens = CODEC.encode(text)
+        assert tokens == plain(text) and sum(encoded) <= 1.2 * len(text)
+
+
+def test_rows_decode_together_as_alone(monkeypatch):
+    rng = random.Random(2)
+    texts = [None, "", "🙂日本語", "a", corpus.text(rng, 400), None, "é" * 50, corpus.text(rng, 30)]
+    lists = [None if t is None else CODEC.plain.encode_ordinary(t) for t in texts]
+    odd = [CODEC.plain.encode_ordinary("🙂")[:1], CODEC.plain.encode_ordinary("🙂")[1:]]
+    for leaf in (3, 100, bpe.LEAF_TOKENS):
+        monkeypatch.setattr(bpe, "LEAF_TOKENS", leaf)
+        for rows in (lists, lists + odd):
+            batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows, pa.list_(pa.int32())), pa.array([None if r is None else len(r) for r in rows], pa.int64())], ["doc_id", "token_ids", "n_tokens"])
+            got = [t for b in bpe._decoder(bpe.VOCABULARY)(iter([batch.slice(0, 1), batch.slice(1)])) for t in b.column(3).to_pylist()]
+            assert got[: len(texts)] == texts and got[len(texts) :] == [CODEC.plain.decode_bytes(o).decode(errors="replace") for o in rows[len(texts) :]]
+    with pytest.raises(KeyError):
+        CODEC.decode([10**6])

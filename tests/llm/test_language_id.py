@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -93,3 +94,27 @@ def test_frames(spark, case):
     assert kept.count() == sum(r["accepted"] for r in rows)
     unlabelled = docs.selectExpr("doc_id", "text", "cast(null as string) as lang", "source", "n_chars")
     assert all(r["language"] == "und" for r in language_id.identify(unlabelled).collect())
+
+
+def test_training_and_identification_against_brute_force(spark):
+    rng = random.Random(10)
+    langs = ["en", "fr"]
+    rows = [corpus.row(i, corpus.text(rng, rng.randint(3, 120), langs[i % 2]), langs[i % 2]) for i in range(40)] + [corpus.row(90, "щука жил", None), corpus.row(91, "12 3", "en"), corpus.row(92, None, "en")]
+    key = lambda x: (-x[1], [ord(c) for c in x[0]])
+    profiles = {}
+    for lang in langs:
+        mine = sorted((hashlib.md5(str(r[0]).encode()).hexdigest(), r[1]) for r in rows if r[2] == lang and r[1] is not None)[:9]
+        total = sum((slow_ngrams(t) for _, t in mine), Counter())
+        profiles[lang] = {g: k for k, (g, _) in enumerate(sorted(total.items(), key=key)[: language_id.PROFILE])}
+
+    def nearest(text):
+        own = [g for g, _ in sorted(slow_ngrams(text or "").items(), key=key)[: language_id.PROFILE]]
+        if not own:
+            return "und", None, False
+        away = {lang: sum(abs(p[g] - k) if g in p else language_id.PROFILE for k, g in enumerate(own)) / (language_id.PROFILE * len(own)) for lang, p in profiles.items()}
+        best = min(langs, key=lambda lang: (away[lang], lang))
+        return best, pytest.approx(away[best]), away[best] <= language_id.MAX_DISTANCE
+
+    docs = corpus.frame(spark, rows)
+    found = {r["doc_id"]: tuple(r)[1:] for r in language_id.identify(docs, language_id.train(docs, sample=9)).collect()}
+    assert {i: nearest(t) for i, t, *_ in rows} == found and len({v[0] for v in found.values()}) == 3
