@@ -45,7 +45,7 @@ def require_optional(name: str, prompts: list[str] | None, expansion: Expansion)
 
 
 def _require_list(name: str, values: Any) -> None:
-    if not values:
+    if not isinstance(values, DataFrame) and not values:
         raise ValueError(f"{name} must not be empty")
 
 
@@ -65,23 +65,25 @@ class _Base:
 
 @dataclass(frozen=True)
 class ClassificationConfig(_Base):
-    """``classes``: {"name", "description"} each."""
+    """``classes``: {"name", "description"} each, or a frame with these columns."""
 
-    classes: list[Mapping[str, str]] = field(default_factory=list)
+    classes: list[Mapping[str, str]] | DataFrame = field(default_factory=list)
     output_file: str = "classification.jsonl"
 
     def __post_init__(self) -> None:
         require_placeholders("prompts", self.prompts, ["num_samples", "language_name", "label_name", "label_description"])
         require_optional("prompts", self.prompts, self.expansion)
-        for c in self.classes:
+        for c in [self.classes.columns] if isinstance(self.classes, DataFrame) else self.classes:
             if not {"name", "description"} <= set(c):
                 raise ValueError("a class needs a name and a description")
 
 
 @dataclass(frozen=True)
 class RawConfig(_Base):
-    document_types: list[str] = field(default_factory=list)
-    topics: list[str] = field(default_factory=list)
+    """``document_types`` and ``topics``: texts, or a frame whose first column has them."""
+
+    document_types: list[str] | DataFrame = field(default_factory=list)
+    topics: list[str] | DataFrame = field(default_factory=list)
     output_file: str = "text.jsonl"
 
     def __post_init__(self) -> None:
@@ -95,11 +97,13 @@ class RawConfig(_Base):
 
 @dataclass(frozen=True)
 class ChatConfig:
+    """``personas``: texts, or a frame whose first column has them."""
+
     conversation_continuation_prob: float = 0.5
     max_turns: int = 1
     domain: str = "Science, Technology, Engineering, and Mathematics"
     topics_and_subtopics: Mapping[str, list[str]] = field(default_factory=dict)
-    personas: list[str] = field(default_factory=list)
+    personas: list[str] | DataFrame = field(default_factory=list)
     num_samples: int = 10
     output_file: str = "instruction_dataset.jsonl"
     question_generation_prompts: list[str] | None = None
@@ -133,6 +137,8 @@ class Source:
     frame: DataFrame | None = None
     hf_dataset_name: str | None = None
     local_file_path: str | None = None
+    #: Of a CSV or JSON Lines file; without one its types are inferred.
+    schema: str | None = None
 
     def check(self) -> None:
         if self.frame is None and not self.hf_dataset_name and not self.local_file_path:

@@ -45,7 +45,7 @@ def formatted(messages: Column) -> Column:
     def line(m: Column) -> Column:
         role = m["role"]
         known = F.when(role == "user", "User").when(role == "assistant", "Assistant").when(role == "system", "System")
-        return F.concat(F.coalesce(known, F.concat(F.upper(F.substring(role, 1, 1)), F.lower(F.substring(role, 2, 10_000)))), F.lit(": "), F.coalesce(m["content"], F.lit("")))
+        return F.concat(F.coalesce(known, F.concat(F.upper(F.substring(role, 1, 1)), F.lower(F.substr(role, F.lit(2))))), F.lit(": "), F.coalesce(m["content"], F.lit("")))
 
     return F.array_join(F.transform(messages, line), "\n\n")
 

@@ -93,19 +93,29 @@ def num_expansions(templates: list[str] | None, e: Expansion) -> int:
     return sum(prod(max(len(e.placeholders[k]), 1) for k in used_keys(t, e.placeholders)) for t in templates)
 
 
+def _size(values) -> int:
+    return values.count() if isinstance(values, DataFrame) else len(values)
+
+
+def planned_rows(grid: DataFrame, samples: int) -> int:
+    """The rows that a pipeline's grid asks for, counted after its filters and before any model is asked: ``samples`` a
+    prompt."""
+    return grid.count() * samples
+
+
 def expected_rows(config: object, providers: int, source_rows: int | None = None) -> int:
     """The closed-form estimate of a pipeline's rows. ``source_rows``: rows of the source, for those that read one."""
     if isinstance(config, ClassificationConfig):
-        factors = [len(config.spoken), config.num_samples_per_prompt, len(config.classes), num_expansions(config.prompts, config.expansion)]
+        factors = [len(config.spoken), config.num_samples_per_prompt, _size(config.classes), num_expansions(config.prompts, config.expansion)]
     elif isinstance(config, RawConfig):
-        factors = [len(config.spoken), config.num_samples_per_prompt, len(config.document_types), len(config.topics), num_expansions(config.prompts, config.expansion)]
+        factors = [len(config.spoken), config.num_samples_per_prompt, _size(config.document_types), _size(config.topics), num_expansions(config.prompts, config.expansion)]
     elif isinstance(config, ChatConfig):
         factors = [len(config.spoken), config.num_samples, sum(map(len, config.topics_and_subtopics.values())), num_expansions(config.question_generation_prompts, config.expansion)]
     elif isinstance(config, MCQConfig):
         rows = source_rows if config.sample_count is None else min(source_rows, config.sample_count)
         factors = [len(config.spoken), config.num_samples_per_prompt, rows, num_expansions(config.prompts, config.expansion)]
     elif isinstance(config, PreferenceConfig):
-        rows = len(config.input_documents) if source_rows is None else source_rows
+        rows = _size(config.input_documents) if source_rows is None else source_rows
         factors = [rows, len(config.spoken), config.num_samples_per_prompt, 1 if config.question_generation_prompts is None else len(config.question_generation_prompts)]
     elif isinstance(config, GenericConfig):
         rows = source_rows if config.sample_count is None else min(source_rows, config.sample_count)

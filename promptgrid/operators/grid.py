@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from promptgrid.config import Expansion
 from promptgrid.functions.template import Part, compile_template, fill, residual
 from promptgrid.operators.expand import expansion_frame
+from promptgrid.operators.order import numbered
 from promptgrid.providers.base import Provider
 
 
@@ -52,6 +53,13 @@ def providers_frame(spark: SparkSession, providers: list[Provider]) -> DataFrame
     return spark.createDataFrame([(i, p.model_id) for i, p in enumerate(providers)], "provider int, model_id string")
 
 
+def values_frame(spark: SparkSession, values: list[str] | DataFrame, at: str, name: str) -> DataFrame:
+    """(ordinal, text) of a list, or of the first column of a frame."""
+    if isinstance(values, DataFrame):
+        return numbered(values.select(F.col(f"`{values.columns[0]}`").cast("string").alias(name)), at, name)
+    return spark.createDataFrame(list(enumerate(values)), f"{at} int, {name} string")
+
+
 def cross(rows: DataFrame, *small: DataFrame) -> DataFrame:
     """``rows`` streamed past configuration tables. Their sizes are what a user typed, and ``max_samples`` bounds the
     expansion; nothing that grows with the data is broadcast."""
@@ -60,6 +68,12 @@ def cross(rows: DataFrame, *small: DataFrame) -> DataFrame:
     return rows
 
 
+def cross_values(rows: DataFrame, values: DataFrame, given: list[str] | DataFrame) -> DataFrame:
+    """``rows`` with every one of ``values``: these are broadcast if they are a list that a user typed; those of a frame
+    may be any number, and how they are joined is left to the optimizer."""
+    return rows.crossJoin(values) if isinstance(given, DataFrame) else cross(rows, values)
+
+
 def need_providers(providers: list[Provider]) -> None:
     if not providers:
         raise ValueError("at least one provider is needed")

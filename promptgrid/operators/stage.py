@@ -2,31 +2,88 @@
 
 A plain UDF would be evaluated again for each filter and projection above it, and a lazy stage once more for each
 action. So the stage is ``mapInArrow`` and its result is written to the shared folder before anything reads it. A task
-that is tried again asks again for its own rows only; ids come from lineage, so the rows keep their keys.
+that is tried again asks again for its own rows only; ids come from lineage, so the rows keep their keys. What a prompt
+was made of, its text above all, is left behind: a stage writes keys, bookkeeping and replies.
+
+No reply can end the job: whatever doesn't parse, isn't of the shape, doesn't fit the columns' types or isn't text is that
+row's failure. ``recording`` collects what the stages in it did: the rows that failed, with provider and error, and counts
+observed while the stage was written.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass, field
+from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StringType, StructField, StructType
 
 from promptgrid import storage
+from promptgrid.logs import log
 from promptgrid.providers.base import Provider
-from promptgrid.schemas import Shape, parse, spark_type
+from promptgrid.schemas import Shape, parse, shape_of, spark_type
+
+
+@dataclass(frozen=True)
+class Call:
+    """One question to a row: the column of its prompt, who is asked, what comes back, and how it is called.
+
+    prompt: a column of strings, or of conversations (arrays of role and content); null asks nothing (status none).
+    provider: a column with the index into ``providers``; None stands for the first.
+    """
+
+    prompt: str
+    providers: list[Provider]
+    shape: Shape | None
+    reply: str = "reply"
+    provider: str | None = None
+    status: str = "status"
+    error: str = "error"
+
+
+@dataclass
+class Record:
+    """A stage that ran: its name, its written table and the counts ``rows``, ``ok``, ``failed``, ``none`` and ``seconds``."""
+
+    name: str
+    table: DataFrame
+    call: Call
+    counts: dict[str, Any] = field(default_factory=dict)
+
+
+_records: ContextVar[list[Record] | None] = ContextVar("records", default=None)
+
+
+@contextmanager
+def recording() -> Iterator[list[Record]]:
+    """The records of all stages that run in it, in order."""
+    records: list[Record] = []
+    token = _records.set(records)
+    try:
+        yield records
+    finally:
+        _records.reset(token)
+
+
+def _clean(error: str) -> str:
+    return error.encode("utf-8", "replace").decode()
 
 
 def _ask(provider: Provider, prompts: list, shape: Shape | None, limit, sleep) -> list[tuple[str | None, object]]:
     """(error, parsed reply) of each prompt of one batch."""
     try:
         replies = provider.send([provider.conversation(p, shape) for p in prompts], shape, limit, sleep)
+        if len(replies) != len(prompts):
+            raise ValueError(f"{len(replies)} replies to {len(prompts)} prompts")
     except Exception as e:
-        return [(f"{provider.model()}: {e}", None)] * len(prompts)
+        return [(_clean(f"{provider.model()}: {e}"), None)] * len(prompts)
     out: list[tuple[str | None, object]] = []
     for reply in replies:
         try:
@@ -34,44 +91,83 @@ def _ask(provider: Provider, prompts: list, shape: Shape | None, limit, sleep) -
                 raise reply
             out.append((None, parse(shape, reply)))
         except Exception as e:
-            out.append((f"{provider.model()}: {e}", None))
+            out.append((_clean(f"{provider.model()}: {e}"), None))
     return out
 
 
-def ask(
-    df: DataFrame, prompt: str, providers: list[Provider], shape: Shape | None, reply: str = "reply", provider: str | None = "provider", batch: int = 1, tasks: int | None = None, keep: bool = True
-) -> DataFrame:
-    """``df`` with ``status`` (ok, failed or none), ``error`` and the parsed ``reply``.
-
-    prompt: a column of strings, or of conversations (arrays of role and content); null asks nothing (status none).
-    provider: a column with the index into ``providers``; None stands for the first. batch: prompts a request, which
-    fail together if the request does. tasks: how many tasks ask at the same time; a provider's requests a minute are
-    shared out among them. keep: write the result once and read it back.
+def _columns(found: list[tuple[str | None, object]], prompts: list, arrow: pa.DataType) -> list[pa.Array]:
+    """(status, error, reply) as columns; a reply that its type can't hold is a failure."""
+    try:
+        replies = pa.array([r for _, r in found], arrow)
+    except Exception:
+        for i, (_, reply) in enumerate(found):
+            try:
+                pa.array([reply], arrow)
+            except Exception as e:
+                found[i] = (_clean(f"reply can't be stored: {e}"), None)
+        replies = pa.array([r for _, r in found], arrow)
+    status = ["none" if p is None else "failed" if e is not None else "ok" for p, (e, _) in zip(prompts, found, strict=True)]
+    return [pa.array(status, pa.string()), pa.array([e for e, _ in found], pa.string()), replies]
+
+
+def ask_all(df: DataFrame, calls: list[Call], without: tuple[str, ...] = (), batch: int = 1, tasks: int | None = None, keep: bool = True, name: str = "stage") -> DataFrame:
+    """``df`` with the status, error and parsed reply of each call, in one pass.
+
+    without: columns that the stage reads and does not return. batch: prompts a request, which fail together if the
+    request does. tasks: how many tasks ask at the same time; a provider's requests a minute are shared out among them
+    (where there is such a limit, as many as the session's default parallelism unless given). keep: write the result
+    once and read it back.
     """
+    calls = [Call(c.prompt, c.providers, shape_of(c.shape), c.reply, c.provider, c.status, c.error) for c in calls]
+    if tasks is None and any(p.rpm_limit is not None for c in calls for p in c.providers):
+        tasks = df.sparkSession.sparkContext.defaultParallelism
     rows = df if tasks is None else df.repartition(tasks)
-    kind = spark_type(shape) if shape is not None else StringType()
-    schema = StructType([*df.schema.fields, StructField("status", StringType()), StructField("error", StringType()), StructField(reply, kind)])
-    arrow = to_arrow_type(kind)
-    share = tasks or (rows.rdd.getNumPartitions() if any(p.rpm_limit is not None for p in providers) else 1)
+    share = tasks or 1
+    stay = [f for f in df.schema.fields if f.name not in without]
+    kinds = [spark_type(c.shape) if c.shape is not None else StringType() for c in calls]
+    new = [f for c, kind in zip(calls, kinds, strict=True) for f in (StructField(c.status, StringType()), StructField(c.error, StringType()), StructField(c.reply, kind))]
+    schema = StructType([*stay, *new])
+    names, arrows = [f.name for f in stay], [to_arrow_type(kind) for kind in kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limits = [p.limit(share) for p in providers]
+        limits = [[p.limit(share) for p in c.providers] for c in calls]
         for part in batches:
-            prompts = part.column(prompt).to_pylist()
-            which = part.column(provider).to_pylist() if provider else [0] * len(prompts)
-            found: list = [(None, None)] * len(prompts)
-            for w in sorted(set(which)):
-                mine = [i for i, (x, p) in enumerate(zip(which, prompts, strict=True)) if x == w and p is not None]
-                for at in range(0, len(mine), batch):
-                    these = mine[at : at + batch]
-                    for i, result in zip(these, _ask(providers[w], [prompts[i] for i in these], shape, limits[w], time.sleep), strict=True):
-                        found[i] = result
-            status = ["none" if p is None else "failed" if e is not None else "ok" for p, (e, _) in zip(prompts, found, strict=True)]
-            new = [pa.array(status, pa.string()), pa.array([e for e, _ in found], pa.string()), pa.array([r for _, r in found], arrow)]
-            yield pa.RecordBatch.from_arrays([*part.columns, *new], names=schema.names)
+            out = [part.column(n) for n in names]
+            for call, arrow, limit in zip(calls, arrows, limits, strict=True):
+                prompts = part.column(call.prompt).to_pylist()
+                which = part.column(call.provider).to_pylist() if call.provider else [0] * len(prompts)
+                found: list = [(None, None)] * len(prompts)
+                for w in sorted(set(which)):
+                    mine = [i for i, (x, p) in enumerate(zip(which, prompts, strict=True)) if x == w and p is not None]
+                    for at in range(0, len(mine), batch):
+                        these = mine[at : at + batch]
+                        for i, result in zip(these, _ask(call.providers[w], [prompts[i] for i in these], call.shape, limit[w], time.sleep), strict=True):
+                            found[i] = result
+                out += _columns(found, prompts, arrow)
+            yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
     asked = rows.mapInArrow(run, schema)
-    return storage.written(asked, "stage") if keep else asked
+    if not keep:
+        return asked
+    seen = Observation()
+    counts = [F.count(F.lit(1)).alias("rows")] + [F.count_if(F.col(c.status) == s).alias(f"{s}_{i}") for i, c in enumerate(calls) for s in ("ok", "failed", "none")]
+    began = time.monotonic()
+    table = storage.written(asked.observe(seen, *counts), name)
+    took, got = time.monotonic() - began, seen.get
+    for i, call in enumerate(calls):
+        of = {"rows": got.get("rows", 0)} | {s: got.get(f"{s}_{i}", 0) for s in ("ok", "failed", "none")} | {"seconds": took}
+        log.info("%s: %d asked, %d failed, %.1f s", call.reply if len(calls) > 1 else name, of["ok"] + of["failed"], of["failed"], took)
+        if (records := _records.get()) is not None:
+            records.append(Record(name if len(calls) == 1 else f"{name} {call.reply}", table, call, of))
+    return table
+
+
+def ask(
+    df: DataFrame, prompt: str, providers: list[Provider], shape: Shape | None, reply: str = "reply", provider: str | None = "provider", batch: int = 1, tasks: int | None = None, keep: bool = True,
+    without: tuple[str, ...] = (), name: str = "stage",
+) -> DataFrame:
+    """``df`` with ``status`` (ok, failed or none), ``error`` and the parsed ``reply``: ``ask_all`` with one call."""
+    return ask_all(df, [Call(prompt, providers, shape, reply, provider)], without, batch, tasks, keep, name)
 
 
 def answered(df: DataFrame) -> DataFrame:
@@ -79,8 +175,22 @@ def answered(df: DataFrame) -> DataFrame:
     return df.where("status = 'ok'").drop("status", "error")
 
 
-def failures(df: DataFrame) -> DataFrame:
-    return df.where("status = 'failed'")
+def failures(records: list[Record]) -> DataFrame | None:
+    """(stage, provider, error, keys) of every row that failed, the row's small columns being shown as JSON; None without
+    stages."""
+    out = None
+    for r in records:
+        keys = [c for c, kind in r.table.dtypes if c not in (r.call.status, r.call.error, r.call.reply) and not kind.startswith(("array", "struct"))]
+        who = F.array(*(F.lit(p.model()) for p in r.call.providers))[F.coalesce(F.col(r.call.provider), F.lit(0)) if r.call.provider else F.lit(0)]
+        one = r.table.where(F.col(r.call.status) == "failed").select(F.lit(r.name).alias("stage"), who.alias("provider"), F.col(r.call.error).alias("error"), F.to_json(F.struct(*keys) if keys else F.struct(F.lit(1))).alias("keys"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def totals(spark, records: list[Record]) -> DataFrame:
+    """(stage, rows, asked, ok, failed): what the stages counted while they were written."""
+    rows = [(r.name, r.counts["rows"], r.counts["ok"] + r.counts["failed"], r.counts["ok"], r.counts["failed"]) for r in records]
+    return spark.createDataFrame(rows, "stage string, rows long, asked long, ok long, failed long")
 
 
 def explode_reply(df: DataFrame, items: str, ordinal: str = "item", value: str = "entry") -> DataFrame:

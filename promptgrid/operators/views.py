@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from promptgrid.functions import hashing
+from promptgrid import schemas
 from promptgrid.operators.chat import formatted
 
+ROWS = {"classification": schemas.CLASSIFICATION_ROW, "raw": schemas.TEXT_ROW, "mcq": schemas.MCQ_ROW, "preference": schemas.PREFERENCE_ROW, "chat": schemas.CHAT_ROW}
+
 VIEWS = {
     "classification": ("text", "label", "model_id", "metadata"),
     "raw": ("text", "text_source", "model_id", "language", "metadata"),
@@ -21,8 +27,10 @@ VIEWS = {
 
 
 def view(df: DataFrame, kind: str) -> DataFrame:
-    """The columns shown for a kind of row; absent or null ones are empty. Other kinds show each row as JSON."""
+    """The columns shown for a kind of row; absent or null ones are empty. Other kinds show each row as JSON, with a
+    warning."""
     if kind not in VIEWS:
+        warnings.warn(f"no view for rows of kind {kind!r}, they are shown as JSON", UserWarning, stacklevel=2)
         return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row"))
     types = dict(df.dtypes)
 
@@ -44,5 +52,10 @@ def page(df: DataFrame, ordinal: str, index: int, total: int) -> DataFrame:
     return df.where(F.col(ordinal) == at).withColumn("label", F.lit(f"Example {at + 1} / {total}"))
 
 
-def random_order(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    return df.orderBy(hashing.digest(seed, F.col(key)), key)
+def kind_of(row_type: str | StructType) -> str:
+    """The kind of view for a row type, by the name of its class (``MCQRow`` and ``MCQDataset`` are ``mcq``) or by its fields."""
+    if isinstance(row_type, StructType):
+        return next((k for k, t in ROWS.items() if t == row_type), "generic")
+    words = re.sub(r"(Row|Dataset|Config)$", "", row_type)
+    name = re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", words).lower()
+    return {"text": "raw", "ultrachat": "chat"}.get(name, name)

@@ -9,7 +9,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptgrid import prompts, schemas, storage
@@ -23,7 +24,8 @@ from promptgrid.operators.preference import swap_by_score
 from promptgrid.plans import classification, generic, mcq, preference, raw
 from promptgrid.plans import chat as chat_plan
 from promptgrid.providers import ScriptedProvider, StubProvider
-from promptgrid.providers.base import JSON_SUFFIX
+from promptgrid.plans.run import run
+from promptgrid.providers.base import JSON_SUFFIX, WAIT_TARGET, RateLimitError, RequestLimit
 from promptgrid.providers.stub import stub_score_sql, stub_sql
 from promptgrid.sources import card, readers, writers
 
@@ -71,7 +73,7 @@ def q(text: str) -> str:
 
 # --- expansion ---------------------------------------------------------------------------------------------------
 
-PLACEHOLDERS = {"color": ["red", "blue", "green"], "animal": ["fox", "rabbit", "bear"], "second": ["hedgehog", "cat", "dog"]}
+PLACEHOLDERS = {"color": ["amber", "teal", "white"], "animal": ["heron", "otter", "lynx"], "second": ["newt", "wren", "mole"]}
 TEMPLATES = ["A {color} {animal} runs.", "The {color} {animal} met a {second}.", "No animals here."]
 
 
@@ -205,6 +207,12 @@ def filter_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.skip(rows, (F.col("n_chars") < 200) | (F.col("toxic") == 1)).select("doc_id", "n_chars")
 
 
+@query(f"SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src4') ORDER BY {digest_sql('42', 'doc_id')}, doc_id LIMIT 10")
+def filter_among(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten of the rows whose source is one of two, by a seeded draw."""
+    return filters.among(documents(spark, sf_dir), "source", ["src1", "src4"], 10, "doc_id", SEED).select("doc_id", "source")
+
+
 @query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 100")
 def limit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.head(documents(spark, sf_dir), 100, "doc_id").select("doc_id", "lang")
@@ -260,19 +268,42 @@ def explode_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage.explode_reply(stage.answered(asked), "reply.entries").select("item_id", "item", "entry")
 
 
-_BAD = {0: "", 1: " extra", 2: "not json"}
-
-
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'ok' ELSE 'failed' END AS status, CASE WHEN doc_id % 4 = 0 THEN 2 END AS n FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'ok' ELSE 'failed' END AS status, CASE WHEN doc_id % 6 = 0 THEN 2 END AS n FROM documents")
 def parse_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replies that are right, trailed by text, of the wrong type and without the key."""
+    """Replies that are right, trailed by text, of the wrong type, without the key, with half a character and too deep."""
     ready = '{"entries": ["a", "b"], "more": 1}'
-    rows = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("case "), F.col("doc_id") % 4).alias("prompt"))
-    model = ScriptedProvider(canned={"case 0": ready, "case 1": f"{ready} and more", "case 2": '{"entries": [1]}', "case 3": "{}"})
+    rows = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("case "), F.col("doc_id") % 6).alias("prompt"))
+    model = ScriptedProvider(canned={"case 0": ready, "case 1": f"{ready} and more", "case 2": '{"entries": [1]}', "case 3": "{}", "case 4": '{"entries": ["\\ud83d", "b"]}', "case 5": "[" * 100_000})
     asked = stage.ask(rows, "prompt", [model], schemas.TEXT_ENTRIES, provider=None)
     return asked.select("doc_id", "status", F.when(F.col("status") == "ok", F.size("reply.entries")).alias("n"))
 
 
+_TYPED = {
+    0: '{"name": "a", "score": 0.5, "ok": true, "count": 5000000000, "tags": ["x", "y"]}',
+    1: '{"name": "b", "score": 3, "tags": []}',
+    2: '{"name": "c", "score": "2.5", "ok": null, "count": 1, "tags": ["z"]}',
+    3: '{"name": "d", "score": 1, "count": 1e30, "tags": []}',
+    4: '{"name": "\\ud83d", "score": 1, "tags": []}',
+    5: '{"name": "f", "score": "high", "tags": []}',
+    6: '{"name": "g", "score": 1, "ok": "perhaps", "tags": []}',
+    7: '{"score": 1, "tags": []}',
+}
+
+
+@query(
+    """SELECT doc_id, CASE WHEN k < 3 THEN 'ok' ELSE 'failed' END AS status, list_extract(['a', 'b', 'c'], k + 1) AS name, list_extract([0.5, 3.0, 2.5], k + 1)::DOUBLE AS score,
+    CASE WHEN k = 0 THEN true END AS ok, CASE k WHEN 0 THEN 5000000000 WHEN 2 THEN 1 END AS count, CASE k WHEN 0 THEN 2 WHEN 1 THEN 0 WHEN 2 THEN 1 END AS tags FROM (SELECT doc_id, (doc_id % 8)::INT AS k FROM documents)"""
+)
+def parse_user_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies in a type given as DDL: fractions, truth values, long integers, absent and null fields; the last five don't
+    fit, and fail without ending the job."""
+    rows = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("case "), F.col("doc_id") % 8).alias("prompt"))
+    model = ScriptedProvider(canned={f"case {k}": reply for k, reply in _TYPED.items()})
+    kind = "struct<name: string NOT NULL, score: double NOT NULL, ok: boolean, count: bigint, tags: array<string> NOT NULL>"
+    asked = stage.ask(rows, "prompt", [model], kind, provider=None)
+    return asked.select("doc_id", "status", "reply.name", "reply.score", "reply.ok", "reply.count", F.when(F.col("status") == "ok", F.size("reply.tags")).alias("tags"))
+
+
 @query("SELECT lang, count(*) FILTER (WHERE source <> 'src3') AS ok, count(*) FILTER (WHERE source = 'src3') AS failed FROM documents GROUP BY lang")
 def llm_error_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).select("lang", F.concat(F.lit("from "), F.col("source"), F.lit(".")).alias("prompt"))
@@ -609,20 +640,25 @@ def metadata_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _both(spark: SparkSession, expected: int, planned: DataFrame, samples: int) -> DataFrame:
-    return planned.agg((F.count("*") * samples).alias("planned")).withColumn("expected", F.lit(expected).cast("long"))
+    return spark.createDataFrame([(expected, expand.planned_rows(planned, samples))], "expected long, planned long")
+
 
+def _product_sql(planned: str, *tables: str) -> str:
+    """The closed formula, from the sizes of its lists, beside the count of the grid; two samples a prompt."""
+    return f"SELECT 2 * {' * '.join(f'(SELECT count(*) FROM {t})' for t in tables)} AS expected, (SELECT 2 * count(*) FROM ({planned})) AS planned"
 
-@query("SELECT 112::BIGINT AS expected, 112::BIGINT AS planned")
+
+@query(_product_sql(_CLASS_GRID, _CLASSES_SQL, LANGUAGES_SQL, _STYLES_SQL, MODELS_SQL))
 def expected_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _both(spark, expand.expected_rows(CLASSIFICATION, 2), classification.grid(spark, CLASSIFICATION, providers()), 2)
 
 
-@query("SELECT 336::BIGINT AS expected, 336::BIGINT AS planned")
+@query(_product_sql(_RAW_GRID, "(VALUES ('letter'), ('report'))", "(VALUES ('rivers'), ('tides'), ('snow'))", LANGUAGES_SQL, _STYLES_SQL, MODELS_SQL))
 def expected_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _both(spark, expand.expected_rows(RAW, 2), raw.grid(spark, RAW, providers()), 2)
 
 
-@query("SELECT 24::BIGINT AS expected, 24::BIGINT AS planned")
+@query(_product_sql(_CHAT_GRID, _TOPICS_SQL, LANGUAGES_SQL, MODELS_SQL))
 def expected_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _both(spark, expand.expected_rows(CHAT, 2), chat_plan.grid(spark, CHAT, providers()), 2)
 
@@ -645,11 +681,53 @@ def expected_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _both(spark, expand.expected_rows(config, 2, documents(spark, sf_dir).count()), generic.grid(spark, config, providers(), "doc_id"), 2)
 
 
-@query("SELECT source, count(*) AS n, sum(count(*)) OVER (ORDER BY source)::BIGINT AS total FROM documents GROUP BY source")
+@query(
+    """SELECT 'first' AS stage, count(*) AS rows, count(*) AS asked, count(*) FILTER (WHERE source <> 'src3') AS ok, count(*) FILTER (WHERE source = 'src3') AS failed FROM documents
+    UNION ALL SELECT 'second', count(*), count(*) FILTER (WHERE lang <> 'fr'), count(*) FILTER (WHERE lang <> 'fr'), 0 FROM documents WHERE source <> 'src3'"""
+)
 def progress_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = documents(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))
-    # a row a source
-    return counts.withColumn("total", F.sum("n").over(Window.orderBy("source")))
+    """What two stages counted while they were written; the second asks nothing for some rows."""
+    rows = documents(spark, sf_dir).select("lang", F.concat(F.lit("from "), F.col("source"), F.lit(".")).alias("prompt"))
+    with stage.recording() as records:
+        first = stage.answered(stage.ask(rows, "prompt", [ScriptedProvider(failing=("from src3.",))], schemas.ANSWER, provider=None, name="first")).drop("reply")
+        stage.ask(first.withColumn("prompt", F.when(F.col("lang") != "fr", F.col("prompt"))), "prompt", [StubProvider()], schemas.ANSWER, provider=None, name="second")
+    return stage.totals(spark, records)
+
+
+@query("SELECT 'texts' AS stage, 'scripted/scripted-1' AS provider, 'scripted/scripted-1: scripted failure' AS error, class AS label_name, language, n FROM (VALUES ('good', 'en', 14), ('good', 'fr', 14)) AS t(class, language, n)")
+def run_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rejects that a run of a pipeline keeps beside its output."""
+    model = ScriptedProvider(failing=("for good:", ": good ("))
+    model.provider_name = "scripted"
+    done = run(classification.classification_rows, spark, CLASSIFICATION, [model, model], output=temporary(spark, "jsonl"))
+    key = lambda c: F.get_json_object("keys", f"$.{c}").alias(c)
+    return done.rejects.select("stage", "provider", "error", key("label_name"), key("language")).groupBy("stage", "provider", "error", "label_name", "language").agg(F.count("*").cast("int").alias("n"))
+
+
+@query(f"SELECT {uuid_sql('42', q('classification'), 'label_name', 'language', 'expansion', 'provider', 'item')} AS uuid, {stub_sql('prompt', 'model_id', 'entries', 'item')} AS text, style, length FROM ({_CLASS_GRID}), {ITEMS_SQL}")
+def run_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that two runs leave, one of which was repeated under its id, with the placeholder values they were made with."""
+    path = temporary(spark, "jsonl")
+    for run_id, models in (("a", providers()[:1]), ("b", providers()[1:]), ("a", providers()[:1])):
+        run(_with_provider(run_id == "b"), spark, CLASSIFICATION, models, output=path, run_id=run_id)
+    rows = spark.read.schema(schemas.CLASSIFICATION_ROW).json(path)
+    return rows.select("uuid", "text", F.col("metadata")["style"].alias("style"), F.col("metadata")["length"].alias("length"))
+
+
+def _with_provider(second: bool):
+    """The pipeline with one of two providers, whose place is part of the rows' ids."""
+
+    def rows(spark: SparkSession, config: ClassificationConfig, models: list) -> DataFrame:
+        return classification.classification_rows(spark, config, [_Silent(), *models] if second else models)
+
+    return rows
+
+
+class _Silent(StubProvider):
+    """Fails each request."""
+
+    def complete(self, conversations, shape):
+        raise RuntimeError("silent")
 
 
 # --- sinks, split, card, views, policies -------------------------------------------------------------------------
@@ -662,10 +740,10 @@ def _rows_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SINK = "SELECT doc_id, md5(text) AS digest, CASE WHEN lang <> 'fr' THEN lang END AS lang, source FROM documents"
 
 
-@query("SELECT doc_id, lang = 'fr' AS null_kept FROM documents")
+@query("SELECT doc_id, md5(text) AS digest, lang = 'fr' AS null_kept FROM documents")
 def sink_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     writers.to_jsonl(_rows_with_nulls(spark, sf_dir), path := temporary(spark, "jsonl"))
-    return spark.read.text(path).select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), F.col("value").contains('"lang":null').alias("null_kept"))
+    return spark.read.text(path).select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), F.md5(F.from_json("value", "text string")["text"]).alias("digest"), F.col("value").contains('"lang":null').alias("null_kept"))
 
 
 @query(_SINK)
@@ -689,17 +767,24 @@ def train_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.train_test(documents(spark, sf_dir).select("doc_id"), 0.8, "doc_id", SEED)
 
 
-@query(_SPLIT)
+@query(f"SELECT doc_id, split, md5(text) AS digest, 'doc_id,lang,n_chars,source,text' AS columns, 'My Corpus V1' AS title FROM ({_SPLIT}) JOIN documents USING (doc_id)")
 def hub_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).withColumn("metadata", F.create_map().cast("map<string,string>"))
-    path = writers.export(rows, temporary(spark, "hub"), "team/my-corpus_v1", 0.8, "doc_id", SEED, card=False)
-    return spark.read.parquet(f"{path}/data").select("doc_id", "split")
+    path = writers.export(rows, temporary(spark, "hub"), "team/my-corpus_v1", 0.8, "doc_id", SEED)
+    back = spark.read.parquet(f"{path}/data")
+    title = spark.read.text(f"{path}/README.md", wholetext=True).select(F.regexp_extract("value", r"(?m)^pretty_name: (.*)$", 1)).first()[0]
+    return back.select("doc_id", "split", F.md5("text").alias("digest"), F.lit(",".join(sorted(set(back.columns) - {"split"}))).alias("columns"), F.lit(title).alias("title"))
 
 
 @query("SELECT source, 'My ' || upper(lang[1]) || lang[2:] || ' ' || upper(source[1]) || source[2:] AS pretty FROM (SELECT DISTINCT source, lang FROM documents)")
 def card_pretty_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir).select("source", "lang").distinct()
-    return rows.select("source", card.pretty_name_column(F.concat(F.lit("team/my-"), "lang", F.lit("_"), "source")).alias("pretty"))
+    rows = documents(spark, sf_dir).select("source", F.concat(F.lit("team/my-"), "lang", F.lit("_"), "source").alias("repo")).distinct()
+
+    def named(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([card.pretty_name(r) for r in batch.column(1).to_pylist()], pa.string())], ["source", "pretty"])
+
+    return rows.mapInArrow(named, "source string, pretty string")
 
 
 @query("SELECT doc_id, 'Example 8 / ' || (SELECT count(*) FROM documents) AS label FROM documents ORDER BY doc_id LIMIT 1 OFFSET 7")
@@ -726,13 +811,33 @@ def rate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.request_window(table(spark, sf_dir, "events"), "event_type", "ts", 10).select("event_id", "in_window", "held")
 
 
-@query("SELECT * FROM (VALUES (0, 5.0::DOUBLE, true), (1, 10.0::DOUBLE, true), (2, NULL::DOUBLE, false)) AS t(attempt, wait, again)")
-def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from promptgrid.providers.base import ATTEMPTS, FIRST_WAIT
+@query("SELECT (n // 13)::INT AS batch, count(*) AS requests, 62.0::DOUBLE * (n // 13) AS started FROM range(200) AS r(n) GROUP BY n // 13")
+def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each of 200 requests that are all there at once may start under 15 a minute, by a clock of its own."""
+    now = [0.0]
+    limit = RequestLimit(15, clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s))
+    started = []
+    for _ in range(200):
+        limit.wait()
+        limit.record(1)
+        started.append((now[0],))
+    rows = spark.createDataFrame(started, "started double").groupBy("started").agg(F.count("*").alias("requests"))
+    return rows.select((F.col("started") / WAIT_TARGET).cast("int").alias("batch"), "requests", "started")
 
-    last = F.col("id") == ATTEMPTS - 1
-    wait = F.when(~last, F.lit(FIRST_WAIT) * F.pow(F.lit(2.0), F.col("id")))
-    return spark.range(ATTEMPTS).select(F.col("id").cast("int").alias("attempt"), wait.alias("wait"), (~last).alias("again"))
+
+@query("SELECT * FROM (VALUES (0, 0.0::DOUBLE, true), (1, 5.0::DOUBLE, true), (2, 15.0::DOUBLE, true), (3, 15.0::DOUBLE, false)) AS t(refusals, waited, answered)")
+def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a provider that refuses some times makes ``send`` wait, and whether it answers in the end."""
+    rows = []
+    for refusals in range(4):
+        waits: list[float] = []
+        model = ScriptedProvider(refused=refusals)
+        try:
+            model.send([model.conversation("hello", None)], None, sleep=waits.append)
+            rows.append((refusals, sum(waits, 0.0), True))
+        except RateLimitError:
+            rows.append((refusals, sum(waits, 0.0), False))
+    return spark.createDataFrame(rows, "refusals int, waited double, answered boolean")
 
 
 def queries() -> dict[str, Query]:

@@ -1,7 +1,9 @@
 """Network providers, over the services' HTTP interfaces with the standard library.
 
-They can't be exercised without a network; everything around them is tested with the stub. A key is read on the
-executor, from the argument's environment variable, when the first request is made: it is never part of a plan.
+They can't be exercised without a network; what they send and read is tested against a fake ``post``. A key is an argument
+or read from the environment of the executor when a request is made. A key given as an argument travels to the executors
+inside the pickled provider, which no plan or log shows; the environment is the safer way. A reply shape is sent as a JSON
+schema, so that a service that can hold its replies to one does.
 """
 
 from __future__ import annotations
@@ -14,29 +16,35 @@ import warnings
 from typing import Any
 
 from promptgrid.providers.base import Messages, Provider, RateLimitError
-from promptgrid.schemas import Shape
+from promptgrid.schemas import Shape, json_schema
 
 
 class _Http(Provider):
     env_key = ""
     url = ""
 
-    def __init__(self, model_id: str | None = None, temperature: float | None = None, max_completion_tokens: int | None = None, top_p: float | None = None, frequency_penalty: float | None = None, timeout: float = 120, rpm_limit: float | None = None):
+    def __init__(self, model_id: str | None = None, temperature: float | None = None, max_completion_tokens: int | None = None, top_p: float | None = None, frequency_penalty: float | None = None, timeout: float = 120, rpm_limit: float | None = None, api_key: str | None = None):
+        self.api_key = api_key
         self.model_id = model_id or self.model_id
         self.temperature, self.max_completion_tokens, self.top_p, self.frequency_penalty = temperature, max_completion_tokens, top_p, frequency_penalty
         self.timeout, self.rpm_limit = timeout, rpm_limit
 
     def key(self) -> str:
-        key = os.environ.get(self.env_key)
+        key = self.api_key or os.environ.get(self.env_key)
         if not key:
-            raise ValueError(f"{self.env_key} is not set")
+            raise ValueError(f"give an api_key or set {self.env_key}")
         return key
 
+    def __repr__(self) -> str:
+        return f"{type(self).__name__}({self.model_id!r})"
+
     def headers(self) -> dict[str, str]:
         return {"Authorization": f"Bearer {self.key()}"}
 
     def body(self, conversation: Messages, shape: Shape | None) -> dict[str, Any]:
         options = {"temperature": self.temperature, "max_tokens": self.max_completion_tokens, "top_p": self.top_p, "frequency_penalty": self.frequency_penalty}
+        if shape is not None:
+            options["response_format"] = {"type": "json_schema", "json_schema": {"name": "reply", "schema": json_schema(shape), "strict": True}}
         return {"model": self.model_id, "messages": conversation} | {k: v for k, v in options.items() if v is not None}
 
     def content(self, reply: dict[str, Any]) -> str:
@@ -72,10 +80,10 @@ class OpenAIProvider(_Http):
     provider_name, model_id, env_key, url = "openai", "gpt-5-mini-2025-08-07", "OPENAI_API_KEY", "https://api.openai.com/v1/responses"
     json_suffix, system, attempts = False, False, 1
 
-    def __init__(self, model_id: str | None = None, reasoning_effort: str = "low", max_completion_tokens: int | None = None, timeout: float = 120, **ignored: Any):
+    def __init__(self, model_id: str | None = None, reasoning_effort: str = "low", max_completion_tokens: int | None = None, timeout: float = 120, api_key: str | None = None, **ignored: Any):
         if ignored:
             warnings.warn(f"not supported by this provider: {', '.join(sorted(ignored))}", UserWarning, stacklevel=2)
-        super().__init__(model_id, max_completion_tokens=max_completion_tokens, timeout=timeout)
+        super().__init__(model_id, max_completion_tokens=max_completion_tokens, timeout=timeout, api_key=api_key)
         self.reasoning_effort = reasoning_effort
 
     def body(self, conversation: Messages, shape: Shape | None) -> dict[str, Any]:
@@ -83,7 +91,7 @@ class OpenAIProvider(_Http):
         if self.max_completion_tokens is not None:
             body["max_output_tokens"] = self.max_completion_tokens
         if shape is not None:
-            body["text"] = {"format": {"type": "json_object"}}
+            body["text"] = {"format": {"type": "json_schema", "name": "reply", "schema": json_schema(shape), "strict": True}}
         return body
 
     def content(self, reply: dict[str, Any]) -> str:
@@ -93,19 +101,22 @@ class OpenAIProvider(_Http):
 class AnthropicProvider(_Http):
     provider_name, model_id, env_key, url = "anthropic", "claude-haiku-4-5-20251001", "ANTHROPIC_API_KEY", "https://api.anthropic.com/v1/messages"
 
-    def __init__(self, model_id: str | None = None, temperature: float | None = None, max_completion_tokens: int | None = None, timeout: float = 120):
-        super().__init__(model_id, temperature, max_completion_tokens, timeout=timeout)
+    def __init__(self, model_id: str | None = None, temperature: float | None = None, max_completion_tokens: int | None = None, timeout: float = 120, api_key: str | None = None):
+        super().__init__(model_id, temperature, max_completion_tokens, timeout=timeout, api_key=api_key)
 
     def headers(self) -> dict[str, str]:
         return {"x-api-key": self.key(), "anthropic-version": "2023-06-01"}
 
     def body(self, conversation: Messages, shape: Shape | None) -> dict[str, Any]:
         system = "\n".join(m["content"] for m in conversation if m["role"] == "system")
-        body = super().body([m for m in conversation if m["role"] != "system"], shape) | ({"system": system} if system else {})
+        body = super().body([m for m in conversation if m["role"] != "system"], None) | ({"system": system} if system else {})
+        if shape is not None:  # a tool whose input is the reply
+            body |= {"tools": [{"name": "reply", "description": "Gives the reply.", "input_schema": json_schema(shape)}], "tool_choice": {"type": "tool", "name": "reply"}}
         return {"max_tokens": 4096} | body
 
     def content(self, reply: dict[str, Any]) -> str:
-        return "".join(c["text"] for c in reply["content"] if c["type"] == "text")
+        given = [c["input"] for c in reply["content"] if c["type"] == "tool_use"]
+        return json.dumps(given[0]) if given else "".join(c["text"] for c in reply["content"] if c["type"] == "text")
 
 
 class GeminiProvider(_Http):

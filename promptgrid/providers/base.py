@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import logging
 import time
 from collections import deque
 from collections.abc import Callable
 from typing import Any
 
-from promptgrid.schemas import Shape, parse
+from promptgrid.logs import log
+from promptgrid.schemas import Checked, Shape, parse, shape_of
 
-log = logging.getLogger("promptgrid")
 
 Messages = list[dict[str, str]]
 SYSTEM = "You are a helpful assistant."
@@ -111,7 +110,11 @@ class Provider:
         return self._limit
 
     def generate(self, prompt: str | list[str] | None = None, messages: Messages | list[Messages] | None = None, response_format: Shape | None = None) -> Any:
-        """One reply for one prompt or conversation, a list for a list. Any failed item fails the call."""
+        """One reply for one prompt or conversation, a list for a list. Any failed item fails the call.
+
+        response_format: a shape, a Spark type or its DDL, or a model class, whose instances are then returned.
+        """
+        response_format = shape_of(response_format)
         if (prompt is None) == (messages is None):
             raise ValueError("give either prompt or messages")
         if prompt is not None:
@@ -132,6 +135,8 @@ class Provider:
                 if isinstance(reply, Exception):
                     raise RuntimeError(f"item {i} failed: {reply}") from reply
             parsed = [parse(response_format, r) for r in replies]
+            if isinstance(response_format, Checked):
+                parsed = [response_format.model.model_validate(p) for p in parsed]
         except Exception as e:
             raise RuntimeError(f"{self.model()}: {e}") from e
         return parsed[0] if single else parsed

@@ -7,7 +7,7 @@ import json
 from typing import Any
 
 from promptgrid.providers.base import JSON_SUFFIX, Messages, Provider, RateLimitError
-from promptgrid.schemas import Shape
+from promptgrid.schemas import Checked, Long, Maybe, Shape
 
 
 class StubProvider(Provider):
@@ -22,12 +22,15 @@ class StubProvider(Provider):
         self.model_id, self.entries, self.fenced, self.rpm_limit = model_id, entries, fenced, rpm_limit
 
     def _value(self, shape: Shape, name: str, k: int, prompt: str) -> Any:
+        if isinstance(shape, (Maybe, Checked)):
+            return self._value(shape.shape, name, k, prompt)
         if isinstance(shape, dict):
             return {f: self._value(s, f, k, prompt) for f, s in shape.items()}
         if isinstance(shape, list):
             return [self._value(shape[0], name, i, prompt) for i in range(self.entries)]
         digest = hashlib.md5(f"{self.model_id}|{name}|{k}|{prompt}".encode()).hexdigest()
-        return int(digest[:8], 16) % 10 + 1 if shape is int else f"txt-{digest}"
+        number = int(digest[:8], 16) % 10 + 1
+        return {int: number, Long: number, float: number / 10, bool: number > 5}.get(shape, f"txt-{digest}")
 
     def complete(self, conversations: list[Messages], shape: Shape | None) -> list[str | Exception]:
         return [self._one(next(m["content"] for m in reversed(c) if m["role"] == "user").removesuffix(JSON_SUFFIX), shape) for c in conversations]

@@ -6,20 +6,24 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from promptgrid import storage
 from promptgrid.config import Source
 from promptgrid.functions.text import strip
 from promptgrid.operators.filters import head
+from promptgrid.operators.order import numbered
 
-#: Where hub datasets are mirrored: <mirror>/<dataset>/<split>/*.parquet.
+#: Where hub datasets are mirrored, on any file system that Spark reads: <mirror>/<dataset>/<split>/*.parquet.
 MIRROR = "PROMPTGRID_HUB_MIRROR"
+__all__ = ["load_source", "numbered", "read_csv", "read_file", "read_hub", "read_jsonl", "read_txt", "source_name", "texts_only"]
 EXTENSIONS = ("csv", "txt", "parquet", "jsonl", "json")
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header, types inferred, line ends inside quotes; blank cells are null."""
-    return spark.read.csv(path, header=True, inferSchema=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, multi_line: bool = True) -> DataFrame:
+    """Header, line ends inside quotes; blank cells are null. Without a ``schema`` types are inferred in a pass of their
+    own. ``multi_line=False`` lets large files be split, where no cell holds a line end."""
+    options = {"header": True, "multiLine": multi_line, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    return spark.read.csv(path, schema=schema, **options) if schema is not None else spark.read.csv(path, inferSchema=True, **options)
 
 
 def read_txt(spark: SparkSession, path: str, text_column: str = "text") -> DataFrame:
@@ -27,21 +31,22 @@ def read_txt(spark: SparkSession, path: str, text_column: str = "text") -> DataF
     return spark.read.text(path).select(strip(F.col("value")).alias(text_column)).where(F.col(text_column) != "")
 
 
-def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON value a line, under either extension; a malformed line fails the read."""
-    return spark.read.json(path, mode="FAILFAST", multiLine=False)
+def read_jsonl(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """One JSON value a line, under either extension; a malformed line fails the read. Without a ``schema`` it is inferred
+    in a pass of its own."""
+    return spark.read.json(path, schema=schema, mode="FAILFAST", multiLine=False)
 
 
-def read_file(spark: SparkSession, path: str, text_column: str = "text") -> DataFrame:
+def read_file(spark: SparkSession, path: str, text_column: str = "text", schema: StructType | str | None = None) -> DataFrame:
     kind = path.lower().rsplit(".", 1)[-1]
     if kind == "csv":
-        return read_csv(spark, path)
+        return read_csv(spark, path, schema)
     if kind == "txt":
         return read_txt(spark, path, text_column)
     if kind == "parquet":
         return spark.read.parquet(path)
     if kind in ("jsonl", "json"):
-        return read_jsonl(spark, path)
+        return read_jsonl(spark, path, schema)
     raise ValueError(f"unsupported file extension: {kind}; supported are {', '.join(EXTENSIONS)}")
 
 
@@ -50,10 +55,12 @@ def read_hub(spark: SparkSession, name: str) -> DataFrame:
     root = os.environ.get(MIRROR)
     if not root:
         raise ValueError(f"{MIRROR} must name the folder in which hub datasets are mirrored")
-    splits = sorted(e.name for e in os.scandir(os.path.join(root, name)) if e.is_dir())
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    splits = sorted(s.getPath().getName() for s in files.listStatus(place) if s.isDirectory())
     if not splits:
         raise ValueError(f"no splits in {name}")
-    return spark.read.parquet(os.path.join(root, name, "train" if "train" in splits else splits[0]))
+    return spark.read.parquet(f"{root.rstrip('/')}/{name}/{'train' if 'train' in splits else splits[0]}")
 
 
 def load_source(spark: SparkSession, source: Source, sample_count: int | None = None, text_column: str = "text", key: str | None = None) -> DataFrame:
@@ -65,7 +72,7 @@ def load_source(spark: SparkSession, source: Source, sample_count: int | None =
         elif source.hf_dataset_name:
             rows = read_hub(spark, source.hf_dataset_name)
         else:
-            rows = read_file(spark, source.local_file_path, text_column)
+            rows = read_file(spark, source.local_file_path, text_column, source.schema)
         return head(rows, sample_count, *([key] if key else []))
     except Exception as e:
         raise ValueError(f"error loading dataset: {e}") from e
@@ -82,29 +89,3 @@ def source_name(source: Source) -> str:
     if source.local_file_path:
         return f"local_file:{source.local_file_path.split('/')[-1]}"
     return "unknown_source"
-
-
-def numbered(rows: DataFrame, ordinal: str, key: str | None = None) -> DataFrame:
-    """``rows`` with their ordinals from 0: in the order of ``key``, whose values must differ, or else as scanned.
-
-    No task sees all rows: each partition counts its own, and the small table of the partitions' counts gives offsets.
-    """
-    if key is None:
-        placed = rows.withColumn("_id", F.monotonically_increasing_id())
-        table = storage.written(placed.select("_id"), "ordinals")
-        return _with_ordinal(placed, table, ordinal).select(*rows.columns, ordinal)
-    ordered = rows.select(F.col(key).alias("_key")).repartitionByRange("_key").sortWithinPartitions("_key")
-    table = storage.written(ordered.withColumn("_id", F.monotonically_increasing_id()), "ordinals")
-    ordinals = _with_ordinal(table, table, ordinal).select("_key", ordinal)
-    return rows.join(ordinals, F.col(key) == F.col("_key")).select(*rows.columns, ordinal)
-
-
-def _with_ordinal(rows: DataFrame, table: DataFrame, ordinal: str) -> DataFrame:
-    """Ordinals from ``_id``, which has the partition in its upper bits and the place in it below."""
-    part, within = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    starts, at = [], 0
-    for c in table.groupBy(part.alias("part")).count().orderBy("part").collect():  # a row a partition
-        starts.append((c["part"], at))
-        at += c["count"]
-    offsets = rows.sparkSession.createDataFrame(starts, "_part long, _start long")
-    return rows.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(ordinal, F.col("_start") + within)

@@ -1,14 +1,33 @@
-"""Tables that cut lineage, in the folder all executors share."""
+"""Tables that cut lineage, in the folder all executors share.
+
+A lazy result reads such tables when it is used, so they outlive the call that made them. They go when a ``scope`` ends,
+for work that is done within it, or with ``delete_all`` at the end of an application.
+"""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_scope: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+_made: dict[str, list[str]] = {}
+
+
+def delete_all(spark: SparkSession) -> int:
+    """Remove every table that ``written`` made in this application, for its end; how many there were."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        delete_path(spark, path)
+    return len(paths)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where unset, which only happens in local tests, one of our own."""
     place = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,21 +43,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: computed once, whatever executors are lost later."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if (paths := _scope.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def delete(df: DataFrame) -> None:
     """Remove the files behind a table from ``written``."""
-    spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        delete_path(df.sparkSession, path)
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Size of a written table, as the optimizer sees it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+@contextmanager
+def scope(spark: SparkSession, keep: bool = False) -> Iterator[list[str]]:
+    """Tables that ``written`` makes within it go when it ends, by which time nothing may read them any more."""
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield paths
+    finally:
+        _scope.reset(token)
+        for path in () if keep else paths:
+            delete_path(spark, path)
 
 
 def fresh(df: DataFrame, name: str) -> str:
