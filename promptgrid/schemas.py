@@ -104,20 +104,27 @@ def shape_of(kind: Any) -> Shape | None:
     if hasattr(kind, "model_fields"):
         fields = {}
         for name, f in kind.model_fields.items():
-            inner = shape_of(f.annotation)
+            inner = _annotated(f.annotation)
             inner = inner.shape if isinstance(inner, Maybe) and f.is_required() is False else inner
             fields[f.alias or name] = inner if f.is_required() else Maybe(inner, f.get_default(call_default_factory=True))
         return Checked(fields, kind)
+    raise TypeError(f"unsupported reply type: {kind!r}")
+
+
+def _annotated(kind: Any) -> Shape:
+    """The shape of a model's annotation, where whole numbers are long."""
     origin, args = typing.get_origin(kind), typing.get_args(kind)
+    if kind is int:
+        return Long
     if origin is list:
-        return [shape_of(args[0])]
+        return [_annotated(args[0])]
     if origin in (typing.Union, types.UnionType):
         rest = [a for a in args if a is not type(None)]
         if len(rest) == 1:
-            return Maybe(shape_of(rest[0])) if len(rest) < len(args) else shape_of(rest[0])
+            return Maybe(_annotated(rest[0])) if len(rest) < len(args) else _annotated(rest[0])
     if origin is typing.Literal and all(isinstance(a, str) for a in args) or isinstance(kind, type) and issubclass(kind, str):
         return str
-    raise TypeError(f"unsupported reply type: {kind!r}")
+    return shape_of(kind)
 
 
 def spark_type(shape: Shape) -> DataType:
