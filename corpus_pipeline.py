@@ -47,10 +47,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. A stage's own tables go when it is written, its result when the next one is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     place = f"{storage.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
+        with storage.scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
         docs = spark.read.parquet(f"{place}/{name}")
+        if before:
+            storage.delete_path(spark, before)
+        before = f"{place}/{name}"
     return docs
