@@ -175,12 +175,15 @@ HOT_SHARE = 0.001
 def join_skewed(rows: DataFrame, values: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
     """``rows`` left-joined with ``values``, one row a key, whose column ``count`` has the rows of its key.
 
-    Hot keys, of which there are at most 1 / HOT_SHARE whatever the data, are broadcast; the others, none of which has
-    more than ``HOT_SHARE`` of the ``total`` rows, are shuffled.
+    Hot keys, of which there are at most 1 / HOT_SHARE whatever the data, are broadcast. Then all rows meet the other keys,
+    none of which has more than ``HOT_SHARE`` of the ``total`` rows, in one shuffle, which spreads the rows of hot keys,
+    done by now, by a hash of themselves.
     """
-    hot = values.where(F.col(count) > max(1, int(total * HOT_SHARE))).drop(count)
-    rest = values.where(F.col(count) <= max(1, int(total * HOT_SHARE))).drop(count)
-    extra = [c for c in hot.columns if c not in keys]
-    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
-    done, left = marked.where("_hot").drop("_hot"), marked.where("_hot is null").drop("_hot", *extra)
-    return done.unionByName(left.join(rest, keys, "left"))
+    least = max(1, int(total * HOT_SHARE))
+    extra = [c for c in values.columns if c not in (*keys, count)]
+    hot = values.where(F.col(count) > least).select(*keys, *(F.col(c).alias(f"_hot_{c}") for c in extra), F.lit(True).alias("_hot"))
+    # a zero that the optimizer doesn't know to be one: a literal would drop out of the join's keys
+    rest = values.where(F.col(count) <= least).select(*keys, *extra, (F.col(count) * F.lit(0)).cast("long").alias("_salt"))
+    salt = F.when(F.col("_hot"), F.xxhash64(*rows.columns).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long"))
+    joined = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).join(rest, [*keys, "_salt"], "left")
+    return joined.select(*rows.columns, *(F.coalesce(c, f"_hot_{c}").alias(c) for c in extra))

@@ -125,7 +125,7 @@ def build_index(history: DataFrame) -> tuple[DataFrame, int]:
     distinct = storage.written(ids.groupBy("digest").agg(F.min("winner").alias("winner")), "digests")
     shards = max(1, -(-distinct.count() // SHARD_KEYS))
     rows = distinct.select(_shard(F.col("digest"), shards).alias("shard"), "digest", F.coalesce("winner", F.lit(np.iinfo(np.int64).max)).alias("winner"))
-    index = rows.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_build(), _INDEX)
+    index = rows.repartitionByRange(shards, "shard").sortWithinPartitions("shard").mapInArrow(_build(), _INDEX)
     index = storage.written(index, "digest-index")
     storage.delete(distinct)
     return index, shards

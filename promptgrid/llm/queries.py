@@ -62,7 +62,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.cut_documents(_docs(spark, sf_dir))
+    return substring_dedup.cut_documents(_docs(spark, sf_dir)).withColumn("first_doc_ids", F.array_join(F.col("first_doc_ids").cast("array<string>"), ","))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -75,4 +75,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_source_mixing": mixing.sql(),
         "op6_exact_dedup": "SELECT doc_id, winner_doc_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS winner_doc_id FROM documents WHERE text IS NOT NULL) WHERE doc_id <> winner_doc_id",
         "op9_secret_scan": secret_scan.sql(),
+        "op10_substring_dedup": substring_dedup.sql(),
     }

@@ -14,8 +14,8 @@ README has the measured share. Boilerplate of fewer than ``MIN_WORDS`` words is
 
 A span that many documents share, such as a license, is thinned out before it is shuffled: each segment of some hundred
 thousand spans sends one of its equal spans on, the head. Only heads meet by hash, so a hot span has a row a segment, and
-the others, which can't be the first, are joined with the first spans afterwards (a sort-merge join whose hot keys
-adaptive execution can split).
+the others, which can't be the first, are joined with the first spans afterwards, those of hot spans, at most a thousand,
+by broadcast.
 
 The result is the documents that lost sentences. Their other sentences stay as they are, with the white space after
 them. A copy of a whole document loses all and becomes the empty text (or its leading white space).
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptgrid import storage
-from promptgrid.llm import arrays
+from promptgrid.llm import arrays, components
 
 SPAN = 2
 MIN_WORDS = 22
@@ -149,12 +149,12 @@ def spans(text: str, span: int = SPAN, min_words: int = MIN_WORDS) -> list[tuple
 
 
 def _thinned(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    """Spans with ``head``, whether they are the first of their hash here, and ``more``, whether others follow that one."""
+    """Spans with ``head``, whether they are the first of their hash here, and ``more``, how many others follow that one."""
     columns = [np.concatenate(c) for c in zip(*held, strict=True)]
     order = np.argsort(columns[0], kind="stable")
     same = columns[0][order[1:]] == columns[0][order[:-1]]
     twice = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-    head, more, keep = np.ones(len(order), bool), np.zeros(len(order), bool), np.ones(len(order), bool)
+    head, more, keep = np.ones(len(order), bool), np.zeros(len(order), np.int32), np.ones(len(order), bool)
     if len(twice):
         twice = twice[np.lexsort([columns[i][twice] for i in (4, 3, 2, 1, 0)])]
         h1, h2, *place = (c[twice] for c in columns[:5])
@@ -164,7 +164,7 @@ def _thinned(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         # the same place of a row that is there twice is no other span
         equal = again & (place[0] == place[0][own]) & (place[1] == place[1][own]) & (place[2] == place[2][own])
         head[twice], keep[twice[equal]] = ~again, False
-        more[twice[own[again & ~equal]]] = True
+        np.add.at(more, twice[own[again & ~equal]], 1)
     rows = np.flatnonzero(keep)
     return pa.RecordBatch.from_arrays([*(pa.array(c[rows]) for c in columns), pa.array(head[rows]), pa.array(more[rows])], [*_COLUMNS, "head", "more"])
 
@@ -191,14 +191,16 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS
     """(doc_id, version, at, n, first_doc_id): each span of n sentences that isn't the first of its hash."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").withColumn("version", F.xxhash64("text"))
     # spans are many times the rows and cheap to make: both users make them, from rows in the same order
-    found = _steady(rows).mapInArrow(arrays.tidy(_spanner(span, min_words)), f"{_SPANS}, head boolean, more boolean")
+    found = _steady(rows).mapInArrow(arrays.tidy(_spanner(span, min_words)), f"{_SPANS}, head boolean, more int")
     place = F.struct("doc_id", "version", "at")
     meet = Window.partitionBy("h1", "h2")
-    heads = found.where("head").withColumns({"first": F.min(place).over(meet), "some": F.max("more").over(meet)})
-    heads = heads.withColumn("leads", F.col("first") == place).where("not leads or some")
-    heads = storage.written(heads.select(*_COLUMNS, F.col("first.doc_id").alias("first_doc_id"), "leads"), "heads")
-    firsts = heads.where("leads").groupBy("h1", "h2").agg(F.min("first_doc_id").alias("first_doc_id"))
-    others = found.where("not head").join(firsts.hint("merge"), ["h1", "h2"])
+    heads = found.where("head").withColumns({"first": F.min(place).over(meet), "some": F.sum("more").over(meet)})
+    heads = heads.withColumn("leads", F.col("first") == place).where("not leads or some > 0")
+    heads = storage.written(heads.select(*_COLUMNS, F.col("first.doc_id").alias("first_doc_id"), "leads", "some"), "heads")
+    # a row of the first's own that is there twice is as often in the heads
+    firsts = storage.written(heads.where("leads").groupBy("h1", "h2").agg(F.min("first_doc_id").alias("first_doc_id"), F.max("some").alias("some")), "firsts")
+    followers = firsts.agg(F.coalesce(F.sum("some"), F.lit(0))).first()[0]
+    others = components.join_skewed(found.where("not head").select(*_COLUMNS), firsts, ["h1", "h2"], "some", followers)
     out = ["doc_id", "version", "at", "n", "first_doc_id"]
     return heads.where("not leads").select(*out).unionByName(others.select(*out))
 
@@ -259,3 +261,29 @@ def deduplicate(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -
     joined = rows.join(lost, (F.col("doc_id").cast("long") == F.col(names["doc_id"])) & (F.col(own) == F.col(names["version"])), "left")
     cut = joined.withColumn("text", F.when(F.col(names["doc_id"]).isNotNull(), F.col(names["text"])).otherwise(F.col("text")))
     return cut.select(*docs.columns).unionByName(docs.where(bare))
+
+
+def sql(span: int = SPAN, min_words: int = MIN_WORDS) -> str:
+    """DuckDB SQL of ``cut_documents`` over documents whose ids are distinct, the first documents as text."""
+    white = r"\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+    single = "".join(rf"\x{{{lo:x}}}-\x{{{hi:x}}}" for lo, hi in UNSPACED)
+    return f"""
+    WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '(?:[{single}]|[^{white}{single}]+)[{white}]*') AS toks FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+    l AS (SELECT *, list_transform(toks, lambda t: lower(regexp_replace(t, '[{white}]+$', ''))) AS words, len(toks) AS n FROM d WHERE len(toks) > 0),
+    w AS (SELECT doc_id, n, unnest(range(1, n + 1)) AS i, unnest(toks) AS tok, unnest(words) AS word FROM l),
+    e AS (SELECT *, (i = n OR contains('{ENDS}', right(word, 1)) OR contains(tok, chr(10)) OR (unicode(word) + length(word)) % {CUT} = 0)::INT AS closes FROM w),
+    g AS (SELECT *, sum(closes) OVER (PARTITION BY doc_id ORDER BY i) - closes AS p FROM e),
+    s AS (SELECT doc_id, p, min(i) AS start, string_agg(tok, '' ORDER BY i) AS body FROM g GROUP BY doc_id, p),
+    c AS (SELECT doc_id, count(*) AS np, any_value(n) AS n FROM s JOIN l USING (doc_id) GROUP BY doc_id),
+    b AS (SELECT doc_id, p, start FROM s UNION ALL SELECT doc_id, np, n + 1 FROM c),
+    r AS (SELECT s.doc_id, s.p, greatest(s.p + {span}, b.p) AS q FROM s ASOF JOIN b ON s.doc_id = b.doc_id AND s.start + {min_words} <= b.start),
+    t AS (SELECT c.doc_id, least(c.np - {span}, max(s.p)) AS p, c.np AS q FROM c JOIN s ON s.doc_id = c.doc_id AND s.start <= c.n + 1 - {min_words} WHERE c.np >= {span} GROUP BY c.doc_id, c.np),
+    u AS (SELECT r.* FROM r JOIN c ON r.doc_id = c.doc_id AND r.q <= c.np UNION SELECT * FROM t),
+    k AS (SELECT u.*, list_slice(l.words, x.start, y.start - 1) AS key FROM u JOIN l USING (doc_id) JOIN b x ON x.doc_id = u.doc_id AND x.p = u.p JOIN b y ON y.doc_id = u.doc_id AND y.p = u.q),
+    f AS (SELECT *, first_value(doc_id) OVER o AS d1, first_value(p) OVER o AS p1 FROM k WINDOW o AS (PARTITION BY key ORDER BY doc_id, p)),
+    x AS (SELECT * FROM f WHERE doc_id <> d1 OR p <> p1),
+    h AS (SELECT DISTINCT doc_id, unnest(range(p::BIGINT, q::BIGINT)) AS p FROM x),
+    v AS (SELECT doc_id, string_agg(d1::VARCHAR, ',' ORDER BY d1) AS first_doc_ids FROM (SELECT DISTINCT doc_id, d1 FROM x) GROUP BY doc_id)
+    SELECT s.doc_id, coalesce(string_agg(CASE WHEN s.p = 0 THEN substr(d.text, 1, length(d.text) - length(array_to_string(d.toks, ''))) ELSE '' END || s.body, '' ORDER BY s.p) FILTER (WHERE h.p IS NULL), '') AS text,
+      count(*)::INT AS n_sentences, count(h.p)::INT AS n_removed, any_value(v.first_doc_ids) AS first_doc_ids
+    FROM s JOIN v USING (doc_id) JOIN d ON d.doc_id = s.doc_id LEFT JOIN h ON h.doc_id = s.doc_id AND h.p = s.p GROUP BY s.doc_id"""

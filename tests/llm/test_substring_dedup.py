@@ -135,6 +135,24 @@ def test_frames(spark, case):
     assert len([r for r in lost if r["doc_id"] == 8]) == (case != "empty")
 
 
+def test_sql(spark, tmp_path):
+    import duckdb
+
+    from promptgrid.llm import queries
+
+    rng = random.Random(14)
+    rows = corpus.corpus(seed=14, n=30)
+    block = corpus.text(rng, 40)
+    rows += [corpus.row(len(rows) + k, f"  {corpus.text(rng, 20)}\t{block} {corpus.text(rng, 20)} 日本語の文。漢字を使う長い文がここにあるので空白はないですよ。" + " end" * k) for k in range(3)]
+    rows += [corpus.row(900, None), corpus.row(901, ""), corpus.row(902, " \n "), corpus.row(903, rows[3][1]), corpus.row(904, f"{block}\n{block}")]
+    corpus.frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(sd.sql()).fetchall()
+    names = [d[0] for d in con.description]
+    assert sorted(map(tuple, queries.op10_substring_dedup(spark, str(tmp_path)).select(*names).collect())) == sorted(want) and len(want) > 10
+
+
 def test_boilerplate_lines_and_tabs(spark):
     rng = random.Random(3)
     line = "this line of thirteen words stands in every one of these documents here.\n"
@@ -149,7 +167,7 @@ def test_many_copies_do_not_fill_one_task(spark):
     """Equal spans are thinned out in each segment, so that one that every document has is no large group."""
     text = corpus.text(random.Random(5), 60)
     docs = spark.range(0, 20_000, 1, 8).selectExpr("id AS doc_id", f"concat('{text}', ' ', md5(string(id)), ' ', md5(string(-id))) AS text")
-    spans = docs.withColumn("version", F.xxhash64("text")).mapInArrow(sd._spanner(sd.SPAN, sd.MIN_WORDS), f"{sd._SPANS}, head boolean, more boolean")
+    spans = docs.withColumn("version", F.xxhash64("text")).mapInArrow(sd._spanner(sd.SPAN, sd.MIN_WORDS), f"{sd._SPANS}, head boolean, more int")
     most = spans.where("head").groupBy("h1", "h2").count().agg(F.max("count")).first()[0]
     assert most <= 8
     found = sd.cut_documents(docs).collect()
