@@ -37,7 +37,7 @@ from promptgrid.llm import components
 WEIGHTS: Mapping[str, float] = {"src0": 4.0, "src1": 2.0, "src2": 2.0, "src3": 0.5}
 DEFAULT_WEIGHT = 1.0
 SEED = 17
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 4 << 20
 RANGE_BITS = 32
 #: Sources up to which their budgets are broadcast, some hundred bytes each.
 FEW_SOURCES = 50_000
