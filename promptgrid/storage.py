@@ -1,7 +1,8 @@
 """Tables that cut lineage, in the folder all executors share.
 
 A lazy result reads such tables when it is used, so they outlive the call that made them. They go when a ``scope`` ends,
-for work that is done within it, or with ``delete_all`` at the end of an application.
+for work that is done within it, and all others when the driver's JVM does. What is to be kept, such as an index or a
+ledger for later batches, must be written elsewhere.
 """
 
 from __future__ import annotations
@@ -15,17 +16,7 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 _scope: ContextVar[list[str] | None] = ContextVar("tables", default=None)
-_made: dict[str, list[str]] = {}
-
-
-def delete_all(spark: SparkSession) -> int:
-    """Remove every table that ``written`` made in this application, for its end; how many there were."""
-    paths = _made.pop(spark.sparkContext.applicationId, [])
-    for path in paths:
-        delete_path(spark, path)
-    return len(paths)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,10 +34,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: computed once, whatever executors are lost later."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     if (paths := _scope.get()) is not None:
         paths.append(path)
     df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
