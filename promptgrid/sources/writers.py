@@ -25,8 +25,11 @@ def to_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
 
 
 def to_csv(df: DataFrame, path: str, append: bool = False) -> None:
-    """Flat columns as they are, others as JSON."""
+    """Flat columns as they are, others as JSON; nulls are blank, empty texts ``""``. A null that is a row's only cell is
+    written as an empty text, since a blank line is no row."""
     flat = [F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("map", "struct", "array") else F.col(f.name) for f in df.schema.fields]
+    if len(flat) == 1:
+        flat = [F.coalesce(flat[0].cast("string"), F.lit("")).alias(df.columns[0])]
     df.select(*flat).write.mode(_mode(append)).csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 

@@ -17,6 +17,12 @@ def test_texts_come_back(spark, tmp_path, multi_line):
     assert {r["id"]: r["text"] for r in readers.read_csv(spark, path, "id int, text string", multi_line).collect()} == dict(enumerate(texts))
 
 
+def test_only_column(spark, tmp_path):
+    """Each row of a single column is there again, as an empty text where it was null."""
+    writers.to_csv(spark.createDataFrame([(t,) for t in TEXTS], "text string"), path := str(tmp_path / "a.csv"))
+    assert sorted(r["text"] for r in readers.read_csv(spark, path).collect()) == sorted(t or "" for t in TEXTS)
+
+
 def test_quoted_blank_numbers(spark, tmp_path):
     """They are null, and the column stays one of numbers."""
     (tmp_path / "a.csv").write_text('id,n,text\n1,"",x\n2,,\n3,4,""\n')
@@ -24,7 +30,7 @@ def test_quoted_blank_numbers(spark, tmp_path):
     assert rows.dtypes[1] == ("n", "int") and sorted(map(tuple, rows.collect())) == [(1, None, "x"), (2, None, None), (3, 4, "")]
 
 
-@pytest.mark.parametrize("name", ["sink_csv"])
+@pytest.mark.parametrize("name", ["src_csv", "sink_csv"])
 def test_queries(spark, tmp_path, name):
     """The queries against their SQL, over documents with such texts and blank languages."""
     duckdb = pytest.importorskip("duckdb")
